@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# --- fixed values: characters trimmed as white space ---
+WHITE_SPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+               "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def clean(c: Column) -> Column:
-    """Trim every kind of white space; blank becomes NULL."""
-    return F.nullif(F.regexp_replace(c.cast("string"), r"^\s+|\s+$", ""), F.lit(""))
+    """Trim every kind of white space; blank becomes NULL.
+
+    The full trim is slow, so it runs only when an end of the text is not printable ASCII."""
+    text = c.cast("string")
+    plain = F.ascii(text).between(33, 126) & F.ascii(F.substring(text, -1, 1)).between(33, 126)
+    return F.when(plain, text).otherwise(F.nullif(F.trim(text, F.lit(WHITE_SPACE)), F.lit("")))
 
 
 def filled(c: Column) -> Column:
@@ -63,11 +72,13 @@ def text_or(c: Column, other: str) -> Column:
 
 
 def lines(items: Iterable[Column]) -> Column:
-    """Ordered array of the non-NULL strings."""
+    """Ordered array of the non-NULL strings.
+
+    `array_remove` is compiled; `array_compact` is a lambda and would interpret every message."""
     items = list(items)
     if not items:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[i.cast("string") for i in items]))
+    return F.array_remove(F.array(*[F.coalesce(i.cast("string"), F.lit("")) for i in items]), "")
 
 
 def any_word(c: Column, words: list[str]) -> Column:

@@ -18,6 +18,21 @@ from assayframe.functions import cells, fixed
 from assayframe.plans import criteria as crit
 
 
+CLEAN = "_clean_"
+_CLEANED_FIELDS = [
+    "dataset_name", "dataset_version", "dataset_type", "study_type", "target_population", "geographic_coverage",
+    "sex_distribution", "deidentification_method", "standards_used", "license_type", "ethics_approval_ref",
+    "consent_type", "github_repo_url", "access_control_method", "version_format", "temporal_granularity",
+]
+
+
+def with_clean(df: DataFrame) -> DataFrame:
+    """Trim each text field once, ahead of the scorers that read it several times."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    todo = [n for n in _CLEANED_FIELDS if cells.is_text(types.get(n, T.NullType())) and CLEAN + n not in types]
+    return df.select("*", *[cells.clean(F.col(n)).alias(CLEAN + n) for n in todo]) if todo else df
+
+
 class Facts:
     """Columns of one row per dataset (metadata plus profile facts), with absent columns defaulted."""
 
@@ -35,7 +50,19 @@ class Facts:
         return self.raw(name).cast("string")
 
     def text(self, name: str) -> Column:
-        return cells.clean(self.raw(name))
+        if self.has(CLEAN + name):
+            return F.col(CLEAN + name)
+        if cells.is_text(self.types.get(name, T.NullType())):
+            return cells.clean(self.raw(name))
+        return self.string(name)
+
+    def stated(self, name: str) -> Column:
+        """True when the field holds something other than white space."""
+        if self.has(CLEAN + name):
+            return F.col(CLEAN + name).isNotNull()
+        if cells.is_text(self.types.get(name, T.NullType())):
+            return cells.clean(self.raw(name)).isNotNull()
+        return self.raw(name).isNotNull()
 
     def flag(self, name: str) -> Column:
         return cells.yes(self.raw(name, False))
@@ -155,7 +182,7 @@ def _annotation_explain(f: Facts, score: Column) -> Explanation:
 def _field_count(f: Facts) -> Column:
     total = F.lit(0)
     for name in fixed.COMPLETENESS_FIELDS:
-        total = total + f.text(name).isNotNull().cast("int")
+        total = total + f.stated(name).cast("int")
     return total
 
 
@@ -170,7 +197,7 @@ def _metadata_score(f: Facts) -> Column:
 
 
 def _metadata_explain(f: Facts, score: Column) -> Explanation:
-    here = {n: f.text(n).isNotNull() for n in fixed.COMPLETENESS_FIELDS}
+    here = {n: f.stated(n) for n in fixed.COMPLETENESS_FIELDS}
     return Explanation(
         _headline(score, _field_count(f).cast("string"), f" out of {len(here)} key metadata fields populated (",
                   _num(F.round(_field_pct(f), 1)), "%)."),
@@ -185,13 +212,13 @@ def _documents(f: Facts) -> list[tuple[Column, Column | str, str]]:
     """(present, evidence, gap) for each documentation component."""
     return [
         (f.flag("data_dictionary_uploaded"), "Data dictionary uploaded.", "Data dictionary missing."),
-        (f.text("ethics_approval_ref").isNotNull(),
+        (f.stated("ethics_approval_ref"),
          _say("Ethics approval reference provided: ", f.string("ethics_approval_ref")),
          "Ethics approval reference missing."),
-        (f.text("consent_type").isNotNull(),
+        (f.stated("consent_type"),
          _say("Consent type documented: ", f.string("consent_type")),
          "Consent protocol description missing."),
-        (f.text("github_repo_url").isNotNull(),
+        (f.stated("github_repo_url"),
          _say("Public code repository provided: ", f.string("github_repo_url")),
          "Code repository URL missing."),
     ]
@@ -223,7 +250,7 @@ def _representativeness_score(f: Facts) -> Column:
     geo, sites = f.text("geographic_coverage"), _sites(f)
     multi = sites >= f.limit("multi_site_min")
     return (F.when(geo.isNull(), 1)
-            .when((geo == "national") & multi & f.text("sex_distribution").isNotNull(), 4)
+            .when((geo == "national") & multi & f.stated("sex_distribution"), 4)
             .when(geo.isin("state", "region") & multi, 3)
             .when(geo.isin("district", "taluk", "village") | (sites > 1), 2).otherwise(1))
 
@@ -430,7 +457,7 @@ def _security_explain(f: Facts, score: Column) -> Explanation:
 
 def _provenance_branch(f: Facts, nothing, version_only, lineage_only, rest) -> Column:
     lineage, log = f.flag("provenance_pipeline_available"), f.flag("changelog_provided")
-    version = f.text("version_format").isNotNull()
+    version = f.stated("version_format")
     return (F.when(~lineage & ~log & ~version, nothing).when(version & ~lineage, version_only)
             .when(lineage & ~log, lineage_only).otherwise(rest))
 
@@ -459,7 +486,7 @@ def _provenance_explain(f: Facts, score: Column) -> Explanation:
 # ---- 10 ethics -------------------------------------------------------------------------
 
 def _ethics_score(f: Facts) -> Column:
-    both = f.text("ethics_approval_ref").isNotNull() & f.text("consent_type").isNotNull()
+    both = f.stated("ethics_approval_ref") & f.stated("consent_type")
     social = f.flag("equity_analysis_performed") | f.flag("community_engagement")
     return (F.when(~both, 1).when(~social, 2).when(f.flag("redressal_mechanism_exists"), 4).otherwise(3))
 
@@ -634,14 +661,14 @@ def _sustainability_explain(f: Facts, score: Column) -> Explanation:
 # ---- 15 curation -----------------------------------------------------------------------
 
 def _curation_branch(f: Facts, none, repo_only, log_only, both) -> Column:
-    repo, log = f.text("github_repo_url").isNotNull(), f.flag("changelog_provided")
+    repo, log = f.stated("github_repo_url"), f.flag("changelog_provided")
     return F.when(~repo & ~log, none).when(~log, repo_only).when(~repo, log_only).otherwise(both)
 
 
 def _curation_explain(f: Facts, score: Column) -> Explanation:
     nothing = F.lit(None).cast("string")
     return Explanation(
-        _headline(score, "Repo=", cells.text_of_flag(f.text("github_repo_url").isNotNull()), ", Changelog=",
+        _headline(score, "Repo=", cells.text_of_flag(f.stated("github_repo_url")), ", Changelog=",
                   f.printed_flag("changelog_provided"), "."),
         [
             F.when(f.flag("feedback_mechanism_exists"),
@@ -710,14 +737,11 @@ def _guarded_score(d: Domain, f: Facts) -> Column:
 def with_scores(df: DataFrame, limit: crit.Limit | None = None,
                 domains: tuple[Domain, ...] = BUILT_IN) -> DataFrame:
     """Add one integer column per domain (d01, d02, ...); NULL when not applicable."""
+    df = with_clean(df)
     f = Facts(df, limit)
     return df.select("*", *[_guarded_score(d, f).alias(score_name(d.number)) for d in domains])
 
 
-VERDICT = ("struct<domain_number:int,domain_name:string,score:int,max_score:int,not_applicable:boolean,"
-           "confidence:string,rationale:string,evidence_items:array<string>,gaps:array<string>>")
-
-
 def verdict(d: Domain, f: Facts, score: Column) -> Column:
     """The full result struct of one domain, given its score column."""
     said = d.explain(f, score)
@@ -737,12 +761,13 @@ def verdict(d: Domain, f: Facts, score: Column) -> Column:
         F.when(~skip, F.lit(4)).alias("max_score"), skip.alias("not_applicable"),
         confidence.cast("string").alias("confidence"), rationale.alias("rationale"),
         evidence.alias("evidence_items"), gaps.alias("gaps"),
-    ).cast(VERDICT)
+    )
 
 
 def with_verdicts(df: DataFrame, limit: crit.Limit | None = None,
                   domains: tuple[Domain, ...] = BUILT_IN) -> DataFrame:
     """Add `domain_scores`, the ordered array of result structs. `df` carries the d01.. columns."""
+    df = with_clean(df)
     f = Facts(df, limit)
     return df.select("*", F.array(*[verdict(d, f, F.col(score_name(d.number))) for d in domains])
                      .alias("domain_scores"))
@@ -752,6 +777,7 @@ def one_domain(df: DataFrame, number: int, key: str = "dataset_id", limit: crit.
                domains: tuple[Domain, ...] = BUILT_IN) -> DataFrame:
     """(key, score, confidence, rationale, evidence, gaps) of a single domain."""
     d = next(x for x in domains if x.number == number)
+    df = with_clean(df)
     f = Facts(df, limit)
     scored = df.select("*", _guarded_score(d, f).alias("_score"))
     return scored.select(key, verdict(d, f, F.col("_score")).alias("v")).select(key, "v.*")

@@ -32,7 +32,8 @@ def assess(facts: DataFrame, overrides: Mapping[str, Any] | None = None, *, limi
     out = composite.with_prs(out, limit, epsilon)
     out = composite.with_dp_verified(out)
     out = composite.with_release(out, limit)
-    return dom.with_verdicts(out, limit, domains) if texts else out
+    out = dom.with_verdicts(out, limit, domains) if texts else out
+    return out.drop(*[c for c in out.columns if c.startswith(dom.CLEAN)])
 
 
 def what_if(facts: DataFrame, sets: Mapping[str, Mapping[str, Any]], **options) -> DataFrame:

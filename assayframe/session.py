@@ -11,10 +11,13 @@ from pyspark.sql import SparkSession
 def local_session(name: str, cores: str | None = None, **conf: str) -> SparkSession:
     cores = cores or os.environ.get("BENCH_CPUS", "8")
     b = (SparkSession.builder.master(f"local[{cores}]").appName(name)
-         .config("spark.ui.enabled", "false")
+         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
+         # Fifteen scorers in one stage make a method too long for the JIT; past this limit Spark
+         # evaluates split projections, which do compile.
+         .config("spark.sql.codegen.hugeMethodLimit", "8000")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
          .config("spark.sql.warehouse.dir", os.path.join(os.environ.get("TMPDIR", "/tmp"), "assayframe-warehouse")))
