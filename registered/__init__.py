@@ -1,5 +1,5 @@
 """Queries over the supplied tables, each with the SQL text that must give the same rows."""
 
-from registered import scoring
+from registered import profiling, scoring
 
-MODULES = [scoring]
+MODULES = [scoring, profiling]
