@@ -786,5 +786,14 @@ def one_domain(df: DataFrame, number: int, key: str = "dataset_id", limit: crit.
 def long_scores(df: DataFrame, key: list[str] | str = "dataset_id") -> DataFrame:
     """One row per dataset and domain, as stored: an inapplicable domain keeps confidence `Low`."""
     keys = [key] if isinstance(key, str) else list(key)
-    rows = df.select(*keys, F.inline("domain_scores"))
+    # The outer form: the plain one makes Spark add a `size > 0` filter that repeats every expression.
+    rows = df.select(*keys, F.inline_outer("domain_scores"))
     return rows.withColumn("confidence", F.when(F.col("not_applicable"), "Low").otherwise(F.col("confidence")))
+
+
+def score_rows(scored: DataFrame, key: str = "dataset_id", domains: tuple[Domain, ...] = BUILT_IN) -> DataFrame:
+    """(key, domain_number, domain_name, score, not_applicable) from the d01.. columns, without texts."""
+    items = [F.struct(F.lit(d.number).alias("domain_number"), F.lit(d.name).alias("domain_name"),
+                      F.col(score_name(d.number)).alias("score"),
+                      F.col(score_name(d.number)).isNull().alias("not_applicable")) for d in domains]
+    return scored.select(key, F.inline(F.array(*items)))

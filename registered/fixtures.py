@@ -140,6 +140,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def run_sql(spark: SparkSession, sf_dir: str, text: str, source: str) -> DataFrame:
+    """Run a one-table SELECT text over a supplied table."""
+    escaped = text.replace("{", "{{").replace("}", "}}")
+    return spark.sql(escaped.replace(f"FROM {source}", "FROM {base}"), base=table(spark, sf_dir, source))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named fixture as a DataFrame."""
     if name == "fx_columns":
@@ -147,9 +153,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                           for i, w in enumerate(HEADER_WORDS)])
         rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("dataset_id"), F.inline(words))
         return rows.where((F.col("dataset_id") * 7 + F.col("ord") * 5) % 4 != 0)
-    source = SOURCES[name]
-    text = SQL[name].replace(f"FROM {source}", "FROM {base}")
-    df = spark.sql(text, base=table(spark, sf_dir, source))
+    df = run_sql(spark, sf_dir, SQL[name], SOURCES[name])
     if name == "fx_catalog":
         df = df.withColumn("linked_model_ids", F.expr(
             "transform(slice(array(1, 2, 3), 1, num_linked_models), x -> concat('model-', cast(x as string)))"))

@@ -340,7 +340,7 @@ QUERIES["cqi"] = lambda s, d: composite.with_cqi(dom.with_scores(catalog(s, d)))
 ORACLE["cqi"] = cte("fx_catalog") + f", scored AS ({scored_sql()}) SELECT {', '.join(_CQI_COLS)} FROM ({_cqi_sql('scored')})"
 
 QUERIES["cqi_from_scores"] = lambda s, d: composite.cqi_from_long(
-    dom.long_scores(plan.assess(catalog(s, d)).select("dataset_id", "domain_scores")))
+    dom.score_rows(dom.with_scores(catalog(s, d))))
 ORACLE["cqi_from_scores"] = (cte("fx_catalog") + f", scored AS ({scored_sql()}) SELECT dataset_id, total_score, max_possible, cqi, cqi_band "
                              f"FROM ({_cqi_sql('scored')})")
 
