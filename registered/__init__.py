@@ -1,5 +1,5 @@
 """Queries over the supplied tables, each with the SQL text that must give the same rows."""
 
-from registered import forms, history, profiling, scoring
+from registered import extras, forms, history, profiling, scoring
 
-MODULES = [scoring, profiling, forms, history]
+MODULES = [scoring, profiling, forms, history, extras]

@@ -132,26 +132,29 @@ ORACLE["history_listing"] = cte("fx_assessments", "fx_results") + "SELECT assess
 def q_report(spark, sf_dir):
     """Reports parsed back to a few of their leaves."""
     doc = documents.report(plan.assess(view(spark, sf_dir, "fx_catalog")), computed_at=F.lit("2024-01-01T00:00:00"))
-    leaf = lambda p: F.get_json_object("report_json", p)
-    return doc.select("dataset_id", leaf("$.dataset_name").alias("dataset_name"), leaf("$.cqi.value").cast("double").alias("cqi"),
-                      leaf("$.cqi.formula_trace").alias("cqi_trace"), leaf("$.prs.value").cast("int").alias("prs"),
-                      leaf("$.release.classification").alias("release_class"), leaf("$.domain_scores[6].score").cast("int").alias("d07"),
-                      leaf("$.domain_scores[10].confidence").alias("d11_confidence"), leaf("$.domain_11_applicable").alias("d11_applicable"),
-                      leaf("$.profile_summary.overall_completeness_pct").cast("double").alias("completeness"))
+    told = doc.select("dataset_id", F.from_json("report_json", (
+        "dataset_name string, cqi struct<value:double,formula_trace:string>, prs struct<value:int>, release struct<classification:string>, "
+        "domain_scores array<struct<score:int,confidence:string>>, domain_11_applicable boolean, "
+        "profile_summary struct<overall_completeness_pct:double>")).alias("r"))
+    return told.select("dataset_id", "r.dataset_name", F.col("r.cqi.value").alias("cqi"), F.col("r.cqi.formula_trace").alias("cqi_trace"),
+                       F.col("r.prs.value").alias("prs"), F.col("r.release.classification").alias("release_class"),
+                       F.col("r.domain_scores")[6]["score"].alias("d07"), F.col("r.domain_scores")[10]["confidence"].alias("d11_confidence"),
+                       F.col("r.domain_11_applicable").alias("d11_applicable"),
+                       F.col("r.profile_summary.overall_completeness_pct").alias("completeness"))
 
 
 QUERIES["report_json"] = q_report
 ORACLE["report_json"] = (cte("fx_catalog") + scoring.assessed_ctes() + " SELECT dataset_id, dataset_name, cqi, cqi_trace, prs, release_class, d07, 'Low' AS d11_confidence, "
-                         "CASE WHEN d11 IS NULL THEN 'false' ELSE 'true' END AS d11_applicable, overall_completeness_pct AS completeness FROM assessed")
+                         "d11 IS NOT NULL AS d11_applicable, overall_completeness_pct AS completeness FROM assessed")
 
 
 def q_payload(spark, sf_dir):
     doc = documents.payload(plan.assess(view(spark, sf_dir, "fx_catalog")), assessed_at=F.lit("2024-01-01T00:00:00"))
-    leaf = lambda p: F.get_json_object("payload_json", p)
-    return doc.select("dataset_id", leaf("$.cqi_band").alias("cqi_band"), leaf("$.prs").cast("int").alias("prs"), leaf("$.report_url").alias("report_url"),
-                      leaf("$.domain_scores.7_privacy_identifiability.score").cast("int").alias("d07"),
-                      leaf("$.domain_scores.7_privacy_identifiability.confidence").alias("d07_confidence"),
-                      leaf("$.domain_scores.11_synthetic_simulated_data.confidence").alias("d11_confidence"))
+    told = doc.select("dataset_id", F.from_json("payload_json", (
+        "cqi_band string, prs int, report_url string, domain_scores map<string,struct<score:int,confidence:string>>")).alias("p"))
+    privacy, synthetic = (F.col("p.domain_scores")[k] for k in ("7_privacy_identifiability", "11_synthetic_simulated_data"))
+    return told.select("dataset_id", "p.cqi_band", "p.prs", "p.report_url", privacy["score"].alias("d07"),
+                       privacy["confidence"].alias("d07_confidence"), synthetic["confidence"].alias("d11_confidence"))
 
 
 QUERIES["payload"] = q_payload
