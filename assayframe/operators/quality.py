@@ -141,6 +141,10 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != "")
 
 
+def _digits(start: int):
+    return lambda h: F.substring(h, start, 8)
+
+
 def shingle_bands(df: DataFrame, key: str, text: str, size: int = 3) -> DataFrame:
     """(key, band, value): min-hash bands of the word shingles of each whole text.
 
@@ -150,7 +154,7 @@ def shingle_bands(df: DataFrame, key: str, text: str, size: int = 3) -> DataFram
         F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.array_join(F.slice(w, i, size), " ")))
     hashed = (df.select(key, _words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
               .select(key, F.transform(F.array_distinct(grams), lambda g: F.sha2(g, 256)).alias("_h")))
-    mins = [F.array_min(F.transform("_h", lambda h, i=i: F.substring(h, 1 + 8 * i, 8))) for i in range(HASHES)]
+    mins = [F.array_min(F.transform("_h", _digits(1 + 8 * i))) for i in range(HASHES)]
     per = HASHES // BANDS
     bands = F.array(*[F.struct(F.lit(b).alias("band"), F.concat(*mins[b * per:(b + 1) * per]).alias("value")) for b in range(BANDS)])
     return hashed.select(key, F.inline(bands))

@@ -19,6 +19,15 @@ RESULT_COLUMNS = [
 ]
 
 
+def _settled(df: DataFrame, names: list[str]) -> DataFrame:
+    """The same rows, with `names` produced by a generator.
+
+    A filter on a result column would otherwise be pushed to the scan with every score expression
+    written out many times over; filters stop at a generator."""
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline_outer(F.array(F.struct(*names))))
+
+
 def assess(facts: DataFrame, overrides: Mapping[str, Any] | None = None, *, limit: crit.Limit | None = None,
            domains: tuple[dom.Domain, ...] = dom.BUILT_IN, texts: bool = True,
            epsilon: str | None = None) -> DataFrame:
@@ -32,6 +41,7 @@ def assess(facts: DataFrame, overrides: Mapping[str, Any] | None = None, *, limi
     out = composite.with_prs(out, limit, epsilon)
     out = composite.with_dp_verified(out)
     out = composite.with_release(out, limit)
+    out = _settled(out, [dom.score_name(d.number) for d in domains] + RESULT_COLUMNS)
     out = dom.with_verdicts(out, limit, domains) if texts else out
     return out.drop(*[c for c in out.columns if c.startswith(dom.CLEAN)])
 
