@@ -39,6 +39,11 @@ def prepared(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def code_match(c: Column, code: str) -> Column:
+    """The code pattern with white space allowed around it, which spares trimming every value."""
+    return c.rlike(r"^\s*" + fixed.CODE_PATTERNS[code][1:-1] + r"\s*$")
+
+
 @dataclass
 class ColumnFacts:
     name: str
@@ -62,9 +67,8 @@ def _aggregates(name: str, kind: str, i: int) -> list[Column]:
     elif kind in ("text", "boolean"):
         out.append(F.approx_count_distinct(c, 0.05).alias(f"distinct_{i}"))
         if kind == "text":
-            t = cells.clean(c)
-            for code, pattern in fixed.CODE_PATTERNS.items():
-                out.append(F.count_if(t.rlike(pattern)).alias(f"{code}_{i}"))
+            for code in fixed.CODE_PATTERNS:
+                out.append(F.count_if(code_match(c, code)).alias(f"{code}_{i}"))
     return out
 
 

@@ -40,14 +40,14 @@ def exact_quantiles(df: DataFrame, counts: dict[str, int], probs: Sequence[float
         if not wide:
             break
         _narrow(df, wide, probs)
+    small = [c for c, n in counts.items() if 0 < n <= map_limit]
+    if small:  # one group per column, so the columns are finished in parallel
+        pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(_q(c)).alias("v")) for c in small])
+        found = df.select(F.inline(pairs)).groupBy("c").agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
+        out.update({r["c"]: list(r["q"]) for r in found.collect()})
     exprs, slots = [], []
     for c, n in counts.items():
-        if n == 0:
-            continue
-        if n <= map_limit:
-            exprs.append(F.percentile(F.col(_q(c)), F.array(*[F.lit(float(p)) for p in probs])))
-            slots.append((c, None))
-        else:
+        if n > map_limit:
             for i, p in enumerate(probs):
                 b, v = brackets[(c, i)], F.col(_q(c))
                 held = F.greatest(F.least(v, F.lit(b.high)), F.lit(b.low))
@@ -56,10 +56,7 @@ def exact_quantiles(df: DataFrame, counts: dict[str, int], probs: Sequence[float
     if exprs:
         row = df.agg(*[e.alias(f"q{j}") for j, e in enumerate(exprs)]).first()
         for value, (c, i) in zip(row, slots):
-            if i is None:
-                out[c] = list(value)
-            else:
-                out[c][i] = value
+            out[c][i] = value
     return out
 
 
@@ -81,17 +78,21 @@ class _Bracket:
 
 def _narrow(df: DataFrame, todo: dict, probs: Sequence[float]) -> None:
     keys = list(todo)
+    # Quantiles of a column that still share a bracket share its sketch.
+    held = {(k[0], todo[k].low, todo[k].high): k for k in keys}
+    slot = {h: j for j, h in enumerate(held)}
+    at_slot = [slot[(k[0], todo[k].low, todo[k].high)] for k in keys]
     # Sketch per slice of the input partitions, then merge the slices: no reducer sees a sketch per task.
     sketches = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_WAYS)).alias("_slice")).agg(*[
         F.kll_sketch_agg_double(F.when(todo[k].holds(F.col(_q(k[0]))), F.col(_q(k[0]))), F.lit(SKETCH_K)).alias(f"s{j}")
-        for j, k in enumerate(keys)])
-    merged = sketches.agg(*[F.kll_merge_agg_double(f"s{j}", F.lit(SKETCH_K)).alias(f"s{j}") for j in range(len(keys))])
+        for j, k in enumerate(held.values())])
+    merged = sketches.agg(*[F.kll_merge_agg_double(f"s{j}", F.lit(SKETCH_K)).alias(f"s{j}") for j in range(len(held))])
     wanted = []
     for j, k in enumerate(keys):
         b = todo[k]
         for rank, shift, name in ((b.first, -SKETCH_MARGIN, "a"), (b.last, SKETCH_MARGIN, "z")):
             at = min(1.0, max(0.0, (rank - b.below) / max(1, b.inside - 1) + shift))
-            wanted.append(F.kll_sketch_get_quantile_double(f"s{j}", F.lit(at)).alias(f"{name}{j}"))
+            wanted.append(F.kll_sketch_get_quantile_double(f"s{at_slot[j]}", F.lit(at)).alias(f"{name}{j}"))
     ends = merged.select(*wanted).first()
     count = []
     for j, k in enumerate(keys):

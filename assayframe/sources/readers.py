@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.errors import AnalysisException, PySparkException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,5 +112,5 @@ def read_dataset(spark: SparkSession, path: str, file_format: str | None) -> Dat
     try:
         df = reader(spark, path)
         return empty(spark) if df.columns == ["_corrupt_record"] else df
-    except (AnalysisException, PySparkException):
+    except (PySparkException, Py4JJavaError):
         return empty(spark)

@@ -15,7 +15,7 @@ from assayframe.session import scratch_path
 from assayframe.sources import archives, files, fhir, readers, sinks
 from assayframe.streaming import events as ev
 from registered import scoring
-from registered.fixtures import cte, run_sql, table, view
+from registered.fixtures import cte, run_sql, spread, table, view
 from registered.profiling import pct_sql
 
 QUERIES = {}
@@ -132,9 +132,9 @@ m AS (SELECT doc_id, {', '.join(f'min(substr(h, {1 + 8 * i}, 8)) AS m{i}' for i
 bands AS ({' UNION ALL '.join(f"SELECT doc_id, {b} AS band, m{2 * b} || m{2 * b + 1} AS value FROM m" for b in range(4))}),
 heads AS (SELECT band, value, min(doc_id) AS head FROM bands GROUP BY band, value HAVING count(*) > 1),
 copies AS (SELECT doc_id, min(head) AS copy_of FROM bands JOIN heads USING (band, value) WHERE head <> doc_id GROUP BY doc_id) """
-QUERIES["near_copies"] = lambda s, d: quality.near_copies(table(s, d, "documents"), "doc_id", "text")
+QUERIES["near_copies"] = lambda s, d: quality.near_copies(spread(table(s, d, "documents")), "doc_id", "text")
 ORACLE["near_copies"] = _BANDS_SQL + "SELECT doc_id, copy_of FROM copies"
-QUERIES["near_copy_share"] = lambda s, d: quality.near_copy_share(table(s, d, "documents"), "doc_id", "text")
+QUERIES["near_copy_share"] = lambda s, d: quality.near_copy_share(spread(table(s, d, "documents")), "doc_id", "text")
 ORACLE["near_copy_share"] = _BANDS_SQL + f""", n AS (SELECT (SELECT count(*) FROM documents) AS rows, (SELECT count(*) FROM copies) AS near_copy_rows)
 SELECT rows, near_copy_rows, {pct_sql('near_copy_rows', 'rows')} AS near_copy_pct FROM n"""
 

@@ -61,7 +61,7 @@ FROM orders
 
 
 def forms(spark, sf_dir):
-    return run_sql(spark, sf_dir, FORM_SQL, "orders")
+    return run_sql(spark, sf_dir, FORM_SQL, "orders", heavy=True)
 
 
 _FORMS = f"WITH forms AS ({FORM_SQL}) "

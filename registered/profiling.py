@@ -197,8 +197,7 @@ def q_standards(spark, sf_dir):
     names = [f.name for f in df.schema.fields if cells.is_text(f.dataType)]
     aggs = [F.count(cells.quoted(n)).alias(f"n{i}") for i, n in enumerate(names)]
     for i, n in enumerate(names):
-        t = cells.clean(cells.quoted(n))
-        aggs += [F.count_if(t.rlike(p)).alias(f"{c}{i}") for c, p in fixed.CODE_PATTERNS.items()]
+        aggs += [F.count_if(col.code_match(cells.quoted(n), c)).alias(f"{c}{i}") for c in fixed.CODE_PATTERNS]
     agg = df.agg(*aggs)
     rows = agg.select(F.inline(F.array(*[F.struct(
         F.lit(n).alias("column_name"), F.col(f"n{i}").alias("present"),
