@@ -52,7 +52,7 @@ def with_percent_rank(results: DataFrame, value: str = "cqi") -> DataFrame:
     whole = W.partitionBy()
     ranks = counts.select(value, (F.sum("_n").over(upto) - F.col("_n")).alias("_less"), F.sum("_n").over(whole).alias("_all"))
     share = F.when(F.col("_all") > 1, F.col("_less") / (F.col("_all") - 1)).otherwise(F.lit(0.0))
-    return results.join(F.broadcast(ranks), value).withColumn("percent_rank", F.round(share, 6)).drop("_less", "_all")
+    return results.join(ranks, value).withColumn("percent_rank", F.round(share, 6)).drop("_less", "_all")
 
 
 def search(results: DataFrame, cqi_bands: list[str] | None = None, prs_bands: list[str] | None = None,
