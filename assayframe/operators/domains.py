@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -734,12 +735,30 @@ def _guarded_score(d: Domain, f: Facts) -> Column:
     return score if failed is None else F.when(failed.isNotNull(), F.lit(1)).otherwise(score)
 
 
+_BUILT: dict[tuple, list[Column]] = {}
+
+
+def _reused(what: str, f: Facts, domains: tuple[Domain, ...], build: Callable[[], list[Column]]) -> list[Column]:
+    """Expressions of an equal schema, criteria and set of domains are built once per driver: they take
+    thousands of calls into the JVM, which is seconds for a plan that may run in one."""
+    criteria = getattr(f.limit, "same_as", None)
+    if criteria is None:
+        return build()
+    key = (what, id(SparkContext._gateway), criteria, domains, tuple((n, t.simpleString()) for n, t in f.types.items()))
+    if key not in _BUILT:
+        if len(_BUILT) >= 32:
+            _BUILT.clear()
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def with_scores(df: DataFrame, limit: crit.Limit | None = None,
                 domains: tuple[Domain, ...] = BUILT_IN) -> DataFrame:
     """Add one integer column per domain (d01, d02, ...); NULL when not applicable."""
     df = with_clean(df)
     f = Facts(df, limit)
-    return df.select("*", *[_guarded_score(d, f).alias(score_name(d.number)) for d in domains])
+    return df.select("*", *_reused("scores", f, domains, lambda: [
+        _guarded_score(d, f).alias(score_name(d.number)) for d in domains]))
 
 
 def verdict(d: Domain, f: Facts, score: Column) -> Column:
@@ -769,8 +788,8 @@ def with_verdicts(df: DataFrame, limit: crit.Limit | None = None,
     """Add `domain_scores`, the ordered array of result structs. `df` carries the d01.. columns."""
     df = with_clean(df)
     f = Facts(df, limit)
-    return df.select("*", F.array(*[verdict(d, f, F.col(score_name(d.number))) for d in domains])
-                     .alias("domain_scores"))
+    return df.select("*", *_reused("verdicts", f, domains, lambda: [
+        F.array(*[verdict(d, f, F.col(score_name(d.number))) for d in domains]).alias("domain_scores")]))
 
 
 def one_domain(df: DataFrame, number: int, key: str = "dataset_id", limit: crit.Limit | None = None,

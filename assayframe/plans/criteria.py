@@ -106,7 +106,12 @@ def typed(overrides: Mapping[str, Any] | None = None) -> dict[str, Any]:
 
 def literals(overrides: Mapping[str, Any] | None = None) -> Limit:
     values = typed(overrides)
-    return lambda key: F.lit(values[key])
+
+    def limit(key: str) -> Column:
+        return F.lit(values[key])
+
+    limit.same_as = ("literals", tuple(sorted(values.items())))
+    return limit
 
 
 def attach(df: DataFrame, sets: Mapping[str, Mapping[str, Any]]) -> DataFrame:
@@ -126,4 +131,8 @@ def attach(df: DataFrame, sets: Mapping[str, Mapping[str, Any]]) -> DataFrame:
 
 
 def columns(struct_name: str = "criteria") -> Limit:
-    return lambda key: F.col(struct_name)[key]
+    def limit(key: str) -> Column:
+        return F.col(struct_name)[key]
+
+    limit.same_as = ("columns", struct_name)
+    return limit
