@@ -182,10 +182,7 @@ SELECT date_trunc('hour', submitted) AS hour, count(*) AS runs, count(failed) AS
   max(took) FILTER (took >= 0) AS longest_seconds FROM t GROUP BY 1"""
 
 
-# The supplied events are sparse; sixteen times the pace makes bursts.
-_BURST = "SELECT user_id, timestamp '2024-01-01 00:00:00' + (ts - timestamp '2024-01-01 00:00:00') / 3000 AS ts FROM events"
-
-
+# The supplied events are sparse; a thousand times the pace makes bursts.
 def _bursts(s, d):
     t = table(s, d, "events")
     base = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))

@@ -57,10 +57,6 @@ for _role, _who, _cond in (("submitter", 37, "user_id = 37"), ("reviewer", None,
     QUERIES[f"visible_{_role}"] = lambda s, d, r=_role, w=_who: reads.visible_to(_assessments(s, d), r, w)
     ORACLE[f"visible_{_role}"] = cte("fx_assessments") + f"SELECT * FROM fx_assessments WHERE {_cond}"
 
-_DETAIL = """SELECT assessment_id, status, dataset_id, dataset_name, cqi_value, cqi_band, prs_value, adjusted_risk, release_class, n_scores,
-  first_score, skipped, rows_seen, completeness, audit_log_id FROM x"""
-
-
 def q_detail(spark, sf_dir):
     done = plan.assess(view(spark, sf_dir, "fx_catalog")).withColumnRenamed("dataset_id", "assessment_id")
     scores = dom.long_scores(done, "assessment_id")

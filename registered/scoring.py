@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assayframe.functions import fixed
 from assayframe.operators import composite
 from assayframe.operators import domains as dom
 from assayframe.plans import assess as plan
@@ -319,7 +320,7 @@ def _long_sql() -> str:
     parts = []
     for n, (_, evidence, gaps) in TEXTS.items():
         conf = "'Low'" if n == 11 else CONFIDENCE.get(n, "'Low'")
-        name = dict((a, b) for a, b, _ in __import__("assayframe.functions.fixed", fromlist=["x"]).DOMAINS)[n]
+        name = dict((a, b) for a, b, _ in fixed.DOMAINS)[n]
         count = " + ".join(f"(({e}) IS NOT NULL)::INT" for e in evidence)
         lacks = " + ".join(f"(({g}) IS NOT NULL)::INT" for g in gaps)
         na = f"NOT {_SYN}" if n == 11 else "false"
