@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from assayframe.llm import bpe, decontaminate, simhash, substrings, toxicity
+from assayframe.llm import bpe, decontaminate, licenses, ngrams, pages, shards, simhash, substrings, toxicity, vectors
 from assayframe.llm.common import table
 
 
@@ -12,10 +12,30 @@ def op1_decontamination(spark, sf_dir):
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash").distinct()
 
 
+def op2_sharding(spark, sf_dir):
+    return shards.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark, sf_dir):
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_embedding_near_dedup(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_lm_scoring(spark, sf_dir):
+    return ngrams.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark, sf_dir):
     return substrings.digest(table(spark, sf_dir, "documents"))
 
@@ -28,5 +48,7 @@ def op10_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op6_simhash, op8_substring_dedup, op9_toxicity, op10_bpe)}
+QUERIES = {f.__name__: f for f in (
+    op1_decontamination, op2_sharding, op3_html_extraction, op4_embedding_near_dedup, op5_lm_scoring, op6_simhash,
+    op7_license_scan, op8_substring_dedup, op9_toxicity, op10_bpe)}
 ORACLE: dict[str, str] = {}
