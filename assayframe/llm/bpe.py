@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.llm.common import small_batches
+
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 CACHE = 300_000
 
@@ -142,7 +144,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str
         for texts in parts:
             yield pd.Series([c.ids(t or "").astype("int32") for t in texts], dtype=object)
 
-    return df.withColumn(into, run(F.col(text)))
+    return small_batches(df).withColumn(into, run(F.col(text)))
 
 
 def decode(df: DataFrame, path: str, pattern: str, tokens: str = "tokens", into: str = "text") -> DataFrame:
@@ -155,7 +157,7 @@ def decode(df: DataFrame, path: str, pattern: str, tokens: str = "tokens", into:
         for rows in parts:
             yield pd.Series([c.decode(np.asarray(r if r is not None else [], "int64")) for r in rows], dtype=object)
 
-    return df.withColumn(into, run(F.col(tokens)))
+    return small_batches(df).withColumn(into, run(F.col(tokens)))
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -174,4 +176,4 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).astype({"n_tokens": "int64"})
 
-    return docs.select("doc_id", run(F.col("text")).alias("x")).select("doc_id", "x.*")
+    return small_batches(docs).select("doc_id", run(F.col("text")).alias("x")).select("doc_id", "x.*")

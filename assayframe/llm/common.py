@@ -24,6 +24,14 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """`df`, its session sending at most `rows` rows to a Python worker at once: texts can be long and memory is not."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def crc_mod(col, m: int):
     """crc32 of the id as text, modulo m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % m

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import LOWER
+from assayframe.llm.common import LOWER, small_batches
 
 NOT_WORD = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 # The base phrases and their labels.
@@ -149,4 +149,4 @@ def scan(docs: DataFrame) -> DataFrame:
         for texts in parts:
             yield pd.DataFrame([s.scan(t) for t in texts], columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype(kinds)
 
-    return docs.select("doc_id", run(F.col("text")).alias("x")).select("doc_id", "x.*")
+    return small_batches(docs).select("doc_id", run(F.col("text")).alias("x")).select("doc_id", "x.*")

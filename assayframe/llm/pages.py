@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayframe.llm.common import small_batches
+
 # Elements by their part in a page.
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas select textarea button option datalist audio video".split())
 RAW = frozenset("script style textarea title".split())
@@ -216,4 +218,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) for x in rows]
             yield pd.DataFrame({"text": pd.Series(texts, dtype=object), "n_chars": pd.Series(list(map(len, texts)), dtype="int64")})
 
-    return pages.select("page_id", "url", run(F.col("html")).alias("x")).select("page_id", "url", "x.*")
+    return small_batches(pages).select("page_id", "url", run(F.col("html")).alias("x")).select("page_id", "url", "x.*")

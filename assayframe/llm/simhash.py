@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import Sets, components, lower_words, written
+from assayframe.llm.common import Sets, components, lower_words, small_batches, written
 
 SEED = 42
 SHARD = 4096
@@ -146,7 +146,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame
 
     The group's id is the least doc_id in it (null only if all are null). Null and empty texts have fingerprint zero and
     link like any other; repeated rows stay repeated rows; an empty table gives no rows; further columns are ignored."""
-    marked = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprints(F.col("text"), shingle).alias("fp")), "simhash")
+    marked = written(small_batches(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprints(F.col("text"), shingle).alias("fp")), "simhash")
     heads = marked.groupBy("fp").agg(F.min("doc_id").alias("head"))
     roots = components(links(heads.select("fp"), radius), "simhash-groups").withColumnRenamed("node", "fp")
     grouped = heads.join(roots, "fp", "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))

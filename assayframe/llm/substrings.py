@@ -24,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import plain_words, written
+from assayframe.llm.common import plain_words, small_batches, written
 
 WINDOW = 35
 ROUNDS = 7
-CHUNK = 400_000
+CHUNK = 150_000
 U = np.uint64
 ODD1, ODD2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD95
 BASES = (0x8F7011EE9A4C2B6D, 0xA24BAED4963EE407)
@@ -188,7 +188,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int, extra: int):
     seen = Words()
     rows, hashes, total = [], [], 0
     for batch in batches:
-        for row in zip(*[batch.column(i).to_pylist() for i in range(1 + extra)]):
+        for at in range(batch.num_rows):
+            row = tuple(batch.column(i)[at].as_py() for i in range(1 + extra))
             words = plain_words(row[0])
             if len(words) < size:
                 continue
@@ -227,7 +228,7 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) ->
             yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), _signed(symbol), _signed(context),
                                               pa.array((a - first[d]).astype(np.int32)), pa.array((b - a).astype(np.int32))], ["t1", "t2", "s", "c", "a", "n"])
 
-    keyed = _with_key(docs)
+    keyed = _with_key(small_batches(docs))
     found = keyed.select("text", "t1", "t2").mapInArrow(find, "t1 long, t2 long, s long, c long, a int, n int")
     found = written(found, "recompressed")
     # contexts of each anchor; then anchors that stand at least twice

@@ -18,10 +18,11 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import LOWER, crc_mod, written
+from assayframe.llm.common import crc_mod, small_batches, written
 
 SAMPLE = 20_000
 LEXICON = 300
+CANDIDATES = 20_000
 THRESHOLD = 0.3
 # Second-person words of English, German, French and Spanish.
 YOU = frozenset("you your yours yourself u ur du dich dir dein deine deinen euch ihr tu te toi ton ta vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -91,33 +92,36 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where(crc_mod(F.col("doc_id"), 4) != 2).join(marks, "doc_id")
 
 
-def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> list[str]:
-    """At most `size` words that stand in many contexts of toxic texts and in few clean texts."""
+def learn_lexicon(rows: DataFrame, size: int = LEXICON, candidates: int = CANDIDATES) -> list[str]:
+    """At most `size` words that stand in many contexts of toxic texts and in few clean texts. Contexts are counted over all
+    toxic training rows; the `candidates` words with most contexts are then counted over all clean ones."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean: dict[str, int] = {}
-            bad = set()
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = set()
+            for text in batch.column(0).to_pylist():
                 words = words_of(text or "")
-                if toxic:
-                    bad.update(zip(words, ["", *words]))
-                else:
-                    for w in set(words):
-                        clean[w] = clean.get(w, 0) + 1
-            n = len(bad)
-            word = [w for w, _ in bad] + list(clean)
-            before = [p for _, p in bad] + [None] * len(clean)
-            count = [0] * n + list(clean.values())
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(before, pa.string()), pa.array(count, pa.int64())], ["w", "p", "n"])
-
-    found = rows.select("text", "toxic").mapInArrow(contexts, "w string, p string, n long")
-    each = found.groupBy("w", F.xxhash64("p").alias("p")).agg(F.sum("n").alias("n"), F.max(F.col("p").isNotNull().cast("int")).alias("bad"))
-    per = each.groupBy("w").agg(F.sum("bad").alias("t"), F.sum("n").alias("f")).where("t >= 5 and t > 4 * f")
-    best = per.orderBy(F.desc(F.col("t") / (F.col("f") + 1)), "w").limit(size)
-    top = best.collect()
-    most = max((r["t"] for r in top), default=0)
-    return [r["w"] for r in top if r["t"] >= 0.1 * most]
+                found.update(zip(words, ["", *words]))
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([p for _, p in found], pa.string())], ["w", "p"])
+
+    pairs = rows.where("toxic > 0").select("text").mapInArrow(contexts, "w string, p string").groupBy("w", F.xxhash64("p")).agg(F.lit(1))
+    seen = pairs.groupBy("w").agg(F.count("*").alias("t")).where("t >= 5").orderBy(F.desc("t"), "w").limit(candidates).collect()
+    bad = {r["w"]: r["t"] for r in seen}
+    wanted = frozenset(bad)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, int] = {}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for w in wanted.intersection(words_of(text or "")):
+                    total[w] = total.get(w, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["w", "n"])
+
+    counted = rows.where("toxic <= 0").select("text").mapInArrow(clean, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    often = {r["w"]: r["n"] for r in counted}
+    told = sorted((-t / (often.get(w, 0) + 1), w) for w, t in bad.items() if t > 4 * often.get(w, 0))[:size]
+    most = max((bad[w] for _, w in told), default=0)
+    return [w for _, w in told if bad[w] >= 0.1 * most]
 
 
 class Model:
@@ -130,20 +134,20 @@ class Model:
         """`df` with the calibrated probability that a text is toxic, 0 to 1; null and empty texts get one too."""
         if self.trees is None:
             return df.withColumn(into, F.lit(0.0))
-        mine = df.withColumn("_features", array_to_vector(feature_column(F.col(text), self.lexicon)))
+        mine = small_batches(df).withColumn("_features", array_to_vector(feature_column(F.col(text), self.lexicon)))
         out = self.trees.transform(mine).withColumn("_p", vector_to_array("_prob")[1])
         x, y = (list(map(float, v.toArray())) for v in (self.isotonic.boundaries, self.isotonic.predictions))
         return out.withColumn(into, _steps(F.col("_p"), x, y)).drop("_features", "_raw", "_prob", "_predicted", "_p")
 
 
 def _steps(p, x: list[float], y: list[float]):
-    """The calibration's piecewise linear function at p."""
-
-    @F.pandas_udf("double")
-    def run(v: pd.Series) -> pd.Series:
-        return pd.Series(np.clip(np.interp(v, x, y), 0.0, 1.0))
-
-    return run(p)
+    """The calibration's piecewise linear function at p, kept within 0 and 1."""
+    xs, ys = F.array(*map(F.lit, x)), F.array(*map(F.lit, y))
+    i = F.size(F.filter(xs, lambda v: v <= p))  # boundaries at or below p
+    a, b = F.get(xs, i - 1), F.get(xs, i)
+    low, high = F.get(ys, i - 1), F.get(ys, i)
+    between = F.when(i == 0, y[0]).when(i >= len(x), y[-1]).otherwise(low + (high - low) * (p - a) / (b - a))
+    return F.least(F.greatest(between, F.lit(0.0)), F.lit(1.0))
 
 
 def feature_column(text, lexicon: frozenset[str]):
@@ -157,7 +161,7 @@ def feature_column(text, lexicon: frozenset[str]):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from the labelled training rows. With no row of one of the classes every score is 0."""
-    rows = written(training_rows(docs, labels), "toxic-rows")
+    rows = written(training_rows(small_batches(docs), labels), "toxic-rows")
     have = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     lexicon = frozenset(learn_lexicon(rows)) | SEED_WORDS
     if not have.get(0) or not have.get(1):
