@@ -7,10 +7,12 @@ that contains that span yields the same symbol wherever the window stands. Every
 one anchor by its own content alone: among the symbols of the highest round whose spans it contains, the least name
 (round 0, the words themselves, always gives one).
 
-Spark then counts anchors over the whole corpus. An anchor seen once clears all its windows. Windows that share an
-anchor form one context (the words they cover); contexts seen twice are repeats as a whole, and contexts seen once whose
-anchor also stands in another context are settled window by window by 128-bit digests of the exact words. Only counts
-per anchor and spans per document travel; texts meet their spans in one join on a 128-bit text key."""
+Spark then brings equal anchors of the whole corpus together, as packed blocks dealt by the anchor's name. An anchor seen
+once clears all its windows. Windows that share an anchor form one context (the words they cover); contexts seen twice
+are repeats as a whole, and counted inside each chunk of documents before anything travels. A context seen once whose anchor also stands in another context
+can still share a window with it; then both have the same words on at least one side of the anchor for half the rest of
+the window. Those that do are settled window by window by 128-bit digests of the exact words. Texts meet their spans in one join on a 128-bit
+text key."""
 
 from __future__ import annotations
 
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 from assayframe.llm.common import plain_words, small_batches, written
 
 WINDOW = 35
-ROUNDS = 7
+ROUNDS = 5
 CHUNK = 150_000
+SHARD_BYTES = 16 << 20
+BROADCAST_ROWS = 1_000_000
 U = np.uint64
 ODD1, ODD2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD95
 BASES = (0x8F7011EE9A4C2B6D, 0xA24BAED4963EE407)
@@ -102,8 +106,8 @@ def pairs(r: Round, kind: int, end: int) -> Round:
 
 
 def anchors(words: np.ndarray, doc: np.ndarray, size: int, rounds: int):
-    """Windows' anchors of a chunk of whole documents. Returns arrays (first window, last window, symbol) of runs of
-    windows that share one anchor occurrence; a window is named by its first word's index in the chunk."""
+    """Windows' anchors of a chunk of whole documents. Returns arrays (first window, last window, symbol, lo, hi) of runs of
+    windows that share one anchor occurrence, decided by the words [lo, hi); a window is named by its first word's index."""
     n = len(words)
     ok = np.zeros(n, bool)
     if n >= size:
@@ -111,7 +115,7 @@ def anchors(words: np.ndarray, doc: np.ndarray, size: int, rounds: int):
     todo = np.flatnonzero(ok)
     none = np.zeros(0, np.int64)
     if not len(todo):
-        return none, none, np.zeros(0, U)
+        return none, none, np.zeros(0, U), none, none
     place = np.arange(n, dtype=np.int64)
     level = [Round(words, doc, place, place + 1)]
     r = runs(level[0], 1, n)
@@ -119,7 +123,7 @@ def anchors(words: np.ndarray, doc: np.ndarray, size: int, rounds: int):
     for k in range(rounds):
         r = pairs(r, 16 + k, n)
         level.append(r)
-    starts, stops, symbols = [], [], []
+    starts, stops, symbols, los, his = [], [], [], [], []
     for k in range(len(level) - 1, -1, -1):
         r = level[k]
         if not len(todo):
@@ -150,7 +154,9 @@ def anchors(words: np.ndarray, doc: np.ndarray, size: int, rounds: int):
         starts.append(t[a])
         stops.append(t[b])
         symbols.append(mix(names[best[a]] + U(k)))
-    return np.concatenate(starts), np.concatenate(stops), np.concatenate(symbols)
+        los.append(lo[best[a]])
+        his.append(hi[best[a]])
+    return tuple(map(np.concatenate, (starts, stops, symbols, los, his)))
 
 
 class Spans:
@@ -203,50 +209,130 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int, extra: int):
         yield rows, hashes
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(U).view(np.int64), pa.int64())
-
-
 def _with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("second"), F.col("text"), F.length("text")))
 
 
-def repeated_spans(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+ENTRY = np.dtype([("s", "<u8"), ("c", "<u8"), ("l", "<u4"), ("r", "<u4"), ("a", "<u4"), ("d", "<u4"), ("n", "<u2"), ("m", "u1")])
+NAMES = ["kind", "shard", "rid", "t1", "t2", "a", "n", "m"]
+KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+FOUND = "kind int, shard int, rid long, t1 long, t2 long, a int, n int, m int"
+TEXT, REPEAT, OPEN, BLOCK = 0, 2, 3, 1
+
+
+def _table(**columns) -> pa.Table:
+    n = max(len(v) for v in columns.values())
+    return pa.table({c: pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(NAMES, KINDS)})
+
+
+def _entries(rows, hashes, size: int, rounds: int) -> np.ndarray:
+    """Anchors of one chunk, one entry per context (m: how often, 2 at most), and those that repeat within the chunk."""
+    words = np.concatenate(hashes)
+    lengths = np.fromiter(map(len, hashes), np.int64, len(hashes))
+    doc = np.repeat(np.arange(len(hashes)), lengths)
+    first = np.cumsum(lengths) - lengths
+    a, b, symbol, lo, hi = anchors(words, doc, size, rounds)
+    spans = Spans(words, BASES[0])
+    d = doc[a]
+    side = (size - (hi - lo) + 1) // 2
+    own = mix(np.arange(len(a), dtype=U) + symbol)  # no such words on this side: a value of its own
+    left = np.where(lo - side >= first[d], spans.of(np.maximum(lo - side, 0), lo), own)
+    right = np.where(hi + side <= first[d] + lengths[d], spans.of(hi, np.minimum(hi + side, len(words))), ~own)
+    e = np.empty(len(a), ENTRY)
+    e["s"], e["c"], e["l"], e["r"] = symbol, spans.of(a, b + size), (left >> U(32)).astype("u4"), (right >> U(32)).astype("u4")
+    e["a"], e["d"], e["n"], e["m"] = a - first[d], d, b - a, 1
+    e = e[np.lexsort((e["n"], e["c"], e["s"]))]
+    head, at = _classes(e)
+    times = np.bincount(at)
+    again = e[times[at] > 1]
+    one = e[head]
+    one["m"] = np.minimum(times, 2)
+    return one, again
+
+
+def _classes(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted entries the first of each context, and the context's number of every entry."""
+    new = np.ones(len(e), bool)
+    new[1:] = (e["s"][1:] != e["s"][:-1]) | (e["c"][1:] != e["c"][:-1]) | (e["n"][1:] != e["n"][:-1])
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _judge(blobs: list[bytes], rids: list[int]) -> pa.Table:
+    """All entries of one shard: contexts that repeat, and contexts that may share windows with another of their anchor."""
+    parts = [np.frombuffer(b, ENTRY) for b in blobs]
+    e = np.concatenate(parts)
+    rid = np.repeat(np.array(rids, np.int64), list(map(len, parts))) + e["d"]
+    order = np.lexsort((e["n"], e["c"], e["s"]))
+    e, rid = e[order], rid[order]
+    head, at = _classes(e)
+    times = np.bincount(at, e["m"]).astype(np.int64)
+    whole = (times[at] > 1) & (e["m"] == 1)  # those above one were told by their chunk
+    top = e[head]
+    new = np.ones(len(top), bool)
+    new[1:] = top["s"][1:] != top["s"][:-1]
+    group = (np.cumsum(new) - 1).astype(np.int64)
+    several = np.bincount(group, minlength=1)[group] > 1 if len(top) else np.zeros(0, bool)
+    shared = np.zeros(len(top), bool)
+    for side in ("l", "r"):
+        _, which, count = np.unique((group.astype(U) << U(32)) | top[side], return_inverse=True, return_counts=True)
+        shared |= count[which] > 1
+    open_ = several & shared
+    return pa.concat_tables([
+        _table(kind=np.full(whole.sum(), REPEAT, np.int32), rid=rid[whole], a=e["a"][whole].astype(np.int32), n=e["n"][whole].astype(np.int32), m=np.full(whole.sum(), 2, np.int32)),
+        _table(kind=np.full(open_.sum(), OPEN, np.int32), rid=rid[head][open_], a=top["a"][open_].astype(np.int32), n=top["n"][open_].astype(np.int32),
+               m=np.minimum(times[open_], 2).astype(np.int32))])
+
+
+def repeated_spans(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Windows that also stand elsewhere, as rows (t1, t2, a, b): in the text with that key the windows starting at
     words a to b. Equal texts share their rows."""
+    keyed = _with_key(small_batches(docs))
+    shards = max(8, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
 
     def find(batches):
-        for rows, hashes in _chunks(batches, size, 2):
-            words = np.concatenate(hashes)
-            lengths = np.fromiter(map(len, hashes), np.int64, len(hashes))
-            doc = np.repeat(np.arange(len(hashes)), lengths)
-            first = np.cumsum(lengths) - lengths
-            a, b, symbol = anchors(words, doc, size, rounds)
-            context = Spans(words, BASES[0]).of(a, b + size)
-            d = doc[a]
-            key = np.array(rows, np.int64).reshape(-1, 2)[d]
-            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), _signed(symbol), _signed(context),
-                                              pa.array((a - first[d]).astype(np.int32)), pa.array((b - a).astype(np.int32))], ["t1", "t2", "s", "c", "a", "n"])
+        from pyspark import TaskContext
 
-    keyed = _with_key(small_batches(docs))
-    found = keyed.select("text", "t1", "t2").mapInArrow(find, "t1 long, t2 long, s long, c long, a int, n int")
-    found = written(found, "recompressed")
-    # contexts of each anchor; then anchors that stand at least twice
-    each = found.groupBy("s", "c", "n").agg(F.count("*").alias("m"), F.min(F.struct("t1", "t2", "a")).alias("rep"))
-    each = written(each, "contexts")
-    many = each.groupBy("s").agg(F.count("*").alias("k"), F.sum("m").alias("total")).where("total > 1")
-    each = written(each.join(many, "s").select("s", "c", "n", "m", "k", "rep"), "shared-contexts")
-    whole = (found.join(each.where("m > 1").select("s", "c", "n"), ["s", "c", "n"])
+        rid = TaskContext.get().partitionId() << 40
+        for rows, hashes in _chunks(batches, size, 2):
+            one, again = _entries(rows, hashes, size, rounds)
+            n = len(rows)
+            numbers = np.arange(rid, rid + n)
+            named = _table(kind=np.full(n, TEXT, np.int32), shard=(numbers % shards).astype(np.int32), rid=numbers, t1=[r[0] for r in rows], t2=[r[1] for r in rows])
+            told = _table(kind=np.full(len(again), REPEAT, np.int32), shard=((rid + again["d"].astype(np.int64)) % shards).astype(np.int32), rid=rid + again["d"].astype(np.int64),
+                          a=again["a"].astype(np.int32), n=again["n"].astype(np.int32), m=np.full(len(again), 2, np.int32))
+            for t in (named, told):
+                yield from t.append_column("blob", pa.nulls(t.num_rows, pa.binary())).combine_chunks().to_batches()
+            place = (one["s"] >> U(11)) % U(shards)
+            order = np.argsort(place, kind="stable")
+            one, place = one[order], place[order]
+            cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(one) else np.zeros(0, np.int64)
+            blobs = [one[a:b].tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(one)])]
+            t = _table(kind=np.full(len(cut), BLOCK, np.int32), shard=place[cut].astype(np.int32), rid=np.full(len(cut), rid))
+            yield from t.append_column("blob", pa.array(blobs, pa.binary())).combine_chunks().to_batches()
+            rid += n
+
+    def judge(key, table):
+        if key[0].as_py() != BLOCK:
+            return table.select(NAMES)
+        return _judge(table["blob"].to_pylist(), table["rid"].to_pylist())
+
+    blocks = keyed.select("text", "t1", "t2").mapInArrow(find, FOUND + ", blob binary").repartition(2 * shards, "kind", "shard")
+    found = written(blocks.groupBy("kind", "shard").applyInArrow(judge, FOUND), "recompressed")
+    texts = found.where(f"kind = {TEXT}").select("rid", "t1", "t2")
+    whole = (found.where(f"kind = {REPEAT}").select("rid", "a", "n").join(texts, "rid")
              .select("t1", "t2", "a", (F.col("a") + F.col("n")).alias("b")).distinct())
-    open_ = (each.where("k > 1").select("rep.t1", "rep.t2", F.struct(F.col("rep.a").alias("a"), "n", "m").alias("x"))
-             .groupBy("t1", "t2").agg(F.collect_list("x").alias("xs")))
-    one = keyed.join(open_.select("t1", "t2"), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    open_ = written(found.where(f"kind = {OPEN}").select("rid", F.struct("a", "n", "m").alias("x")).join(texts, "rid")
+                    .groupBy("t1", "t2").agg(F.collect_list("x").alias("xs")), "open-contexts")
+    ids = open_.select("t1", "t2")
+    ids = F.broadcast(ids) if open_.count() <= BROADCAST_ROWS else ids
+    one = keyed.select("t1", "t2", "text").join(ids, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
 
     def settle(batches):
         seen = Words()
         for batch in batches:
             out = [[] for _ in range(6)]
-            for text, t1, t2, xs in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+            for at in range(batch.num_rows):
+                text, t1, t2, xs = (batch.column(i)[at].as_py() for i in range(4))
                 words = seen.of(plain_words(text))
                 at = np.concatenate([np.arange(x["a"], x["a"] + x["n"] + 1) for x in xs])
                 m = np.concatenate([np.full(x["n"] + 1, x["m"], np.int64) for x in xs])
