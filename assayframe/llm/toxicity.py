@@ -87,9 +87,11 @@ def features(text: str | None, lexicon: frozenset[str]) -> list[float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled training rows (doc_id, text, toxic): ids whose crc32 modulo 4 is not 2; of several labels the highest."""
+    """Labelled training rows (doc_id, text, toxic): ids whose crc32 modulo 4 is not 2; of several labels the highest.
+
+    Labels grow with the corpus, so they are joined by shuffle at every size."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").where(crc_mod(F.col("doc_id"), 4) != 2).join(marks, "doc_id")
+    return docs.select("doc_id", "text").where(crc_mod(F.col("doc_id"), 4) != 2).join(marks.hint("shuffle_merge"), "doc_id")
 
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON, candidates: int = CANDIDATES) -> list[str]:
