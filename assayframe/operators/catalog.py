@@ -63,19 +63,23 @@ def search(results: DataFrame, cqi_bands: list[str] | None = None, prs_bands: li
     return results
 
 
-def service_levels(audit: DataFrame, key: str = "assessment_id", hour: str = "1 hour") -> DataFrame:
-    """Failure rate, webhook failure rate and duration percentiles per hour of submission."""
+def service_levels(audit: DataFrame, key: str = "assessment_id") -> DataFrame:
+    """Failure rate, webhook failures and duration percentiles per hour of submission.
+
+    Runs without a submission stand under hour NULL (`unsubmitted`); runs that end before they were submitted count in
+    `reversed` and have no duration."""
     def first(kind: str) -> Column:
         return F.min(F.when(F.col("event_type") == kind, F.col("event_timestamp")))
 
     runs = audit.groupBy(key).agg(first("assessment_submitted").alias("submitted"), first("assessment_complete").alias("complete"),
-                                  first("assessment_failed").alias("failed"), F.count_if(F.col("event_type") == "webhook_sent").alias("sent"),
+                                  first("assessment_failed").alias("failed"),
                                   F.count_if(F.col("event_type") == "webhook_failed").alias("unsent"))
     took = F.timestamp_diff("SECOND", "submitted", F.coalesce("complete", "failed"))
-    runs = runs.where(F.col("submitted").isNotNull()).withColumn("took", F.when(took >= 0, took))
+    runs = runs.withColumn("lag", took).withColumn("took", F.when(took >= 0, took))
     return runs.groupBy(F.date_trunc("hour", "submitted").alias("hour")).agg(
         F.count(F.lit(1)).alias("runs"), F.count("failed").alias("failed"), F.round(F.count("failed") / F.count(F.lit(1)), 6).alias("failure_rate"),
-        F.sum("unsent").alias("webhook_failures"), F.max("took").alias("longest_seconds"),
+        F.sum("unsent").alias("webhook_failures"), F.count_if(F.col("submitted").isNull()).alias("unsubmitted"),
+        F.count_if(F.col("lag") < 0).alias("reversed"), F.max("took").alias("longest_seconds"),
         F.percentile_approx("took", 0.95, 10000).alias("p95_seconds"))
 
 
@@ -110,7 +114,7 @@ def chain_blocks(audit: DataFrame, key: str = "assessment_id", block: Column | N
     Entries are chained inside a block (a day by default) and block digests are chained per assessment, so
     one busy assessment spreads over its blocks and is never gathered whole."""
     block = block if block is not None else F.to_date("event_timestamp")
-    text = F.concat_ws("|", F.col("log_id").cast("string"), F.col("event_type"), F.col("event_timestamp").cast("timestamp_ntz").cast("string"),
+    text = F.concat_ws("|", F.col("log_id").cast("string"), F.col("event_type"), F.unix_micros(F.col("event_timestamp").cast("timestamp")).cast("string"),
                        F.col("event_detail"))
     entry = F.struct(F.col("event_timestamp"), F.col("log_id"), text.alias("text"))
     blocks = audit.groupBy(F.col(key), block.alias("block")).agg(

@@ -69,9 +69,10 @@ def with_prs(df: DataFrame, limit: crit.Limit | None = None, epsilon: str | None
     base, basis = base.otherwise(F.lit(15.0)), basis.otherwise(F.lit("default_moderate"))
 
     sens = f.raw("sensitivity_class", "standard")
-    times = (F.when(sens == "standard", limit("multiplier_standard"))
-             .when(sens == "high_stigma", limit("multiplier_high_stigma"))
-             .when(sens == "critical", limit("multiplier_critical")).otherwise(F.lit(1.0)))
+    times = F
+    for cls in limit.classes:
+        times = times.when(sens == cls, limit(f"{crit.MULTIPLIER}{cls}"))
+    times = times.otherwise(F.lit(1.0))
     df = df.select("*", base.cast("double").alias("baseline_risk"), basis.alias("risk_basis"),
                    times.cast("double").alias("sensitivity_multiplier"))
     df = df.select("*", (F.col("baseline_risk") * F.col("sensitivity_multiplier")).alias("adjusted_risk"))

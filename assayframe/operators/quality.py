@@ -21,7 +21,11 @@ def orphan_counts(child: DataFrame, child_key: str, parent: DataFrame, parent_ke
 
 
 def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    return child.join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
+    """Child rows whose key has no parent; rows without a key are not orphans. Only distinct keys are compared, so a hot key
+    is one row in that step; the missing keys then pick their rows."""
+    keys = child.where(F.col(child_key).isNotNull()).select(child_key).distinct()
+    missing = keys.join(parent.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_anti")
+    return child.join(missing, child_key, "left_semi")
 
 
 def dictionary_coverage(columns: DataFrame, dictionary: DataFrame, key: str = "dataset_id", name: str = "column_name") -> DataFrame:
@@ -138,7 +142,7 @@ BANDS = 4  # two hashes per band
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def _digits(start: int):

@@ -27,8 +27,7 @@ def _outside(c: Column, least, most) -> Column:
 def form_rules(have: set[str], as_of: Column) -> list[Column]:
     rules = []
     for n in fixed.FORM_REQUIRED:
-        if n in have:
-            rules.append(_rule(n, "required", F.col(n).isNull(), F.lit(None)))
+        rules.append(_rule(n, "required", F.col(n).isNull() if n in have else F.lit(True), F.lit(None)))
     for n, allowed in fixed.FORM_ENUMS.items():
         if n in have:
             rules.append(_rule(n, "enum", ~F.col(n).isin(allowed), F.col(n)))

@@ -48,13 +48,17 @@ def assess(facts: DataFrame, overrides: Mapping[str, Any] | None = None, *, limi
 
 def what_if(facts: DataFrame, sets: Mapping[str, Mapping[str, Any]], **options) -> DataFrame:
     """Assess every dataset under each named criteria set (`criteria_id`)."""
-    return assess(crit.attach(facts, sets), limit=crit.columns(), **options)
+    return assess(crit.attach(facts, sets), limit=crit.columns(classes_=crit.classes(*sets.values())), **options)
 
 
 def combine(metadata: DataFrame, profile: DataFrame, key: str = "dataset_id") -> DataFrame:
-    """Metadata with the profile facts of the same dataset; a dataset without profile keeps defaults."""
-    clash = [c for c in profile.columns if c != key and c in metadata.columns]
-    return metadata.join(profile.drop(*clash), key, "left")
+    """Metadata with the profile facts of the same dataset. A measured fact wins over the form's value; a dataset without
+    profile keeps what the form says."""
+    m, p = metadata.alias("m"), profile.alias("p")
+    facts = [c for c in profile.columns if c != key]
+    both = m.join(p, F.col(f"m.{key}") == F.col(f"p.{key}"), "left")
+    return both.select(*[F.coalesce(F.col(f"p.{c}"), F.col(f"m.{c}")).alias(c) if c in facts else F.col(f"m.{c}") for c in metadata.columns],
+                       *[F.col(f"p.{c}") for c in facts if c not in metadata.columns])
 
 
 def results(assessed: DataFrame, key: str = "dataset_id") -> DataFrame:

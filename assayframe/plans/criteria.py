@@ -54,6 +54,8 @@ _DOMAIN_KEYS = {
 }
 
 Limit = Callable[[str], Column]
+# Every threshold whose name starts like this is the multiplier of a sensitivity class; a document may add classes.
+MULTIPLIER = "multiplier_"
 
 
 def from_document(doc: Mapping[str, Any]) -> dict[str, Any]:
@@ -74,8 +76,7 @@ def from_document(doc: Mapping[str, Any]) -> dict[str, Any]:
         out["neutral_score_when_no_models"] = neutral
     prs = doc.get("prs") or {}
     for cls, value in (prs.get("sensitivity_multipliers") or {}).items():
-        if f"multiplier_{cls}" in out:
-            out[f"multiplier_{cls}"] = value
+        out[f"multiplier_{cls}"] = value
     for group in (prs.get("bands") or {}, doc.get("cqi_bands") or {}, doc.get("release") or {}):
         out.update({k: v for k, v in group.items() if k in out})
     return typed(out)
@@ -98,12 +99,18 @@ def typed(overrides: Mapping[str, Any] | None = None) -> dict[str, Any]:
     """Defaults with overrides, every value cast to the type of its default."""
     out = dict(DEFAULTS)
     for key, value in (overrides or {}).items():
-        if key not in DEFAULTS:
+        if key not in DEFAULTS and not key.startswith(MULTIPLIER):
             raise KeyError(f"unknown threshold: {key}")
-        out[key] = type(DEFAULTS[key])(value)
+        out[key] = type(DEFAULTS.get(key, 1.0))(value)
     return out
 
 
+def classes(*sets: Mapping[str, Any]) -> list[str]:
+    """Sensitivity classes that the sets give a multiplier, the default ones first."""
+    named = dict.fromkeys(k for over in ({}, *sets) for k in typed(over) if k.startswith(MULTIPLIER))
+    return [k.removeprefix(MULTIPLIER) for k in named]
+
+
 def literals(overrides: Mapping[str, Any] | None = None) -> Limit:
     values = typed(overrides)
 
@@ -111,6 +118,7 @@ def literals(overrides: Mapping[str, Any] | None = None) -> Limit:
         return F.lit(values[key])
 
     limit.same_as = ("literals", tuple(sorted(values.items())))
+    limit.classes = classes(values)
     return limit
 
 
@@ -118,10 +126,11 @@ def attach(df: DataFrame, sets: Mapping[str, Mapping[str, Any]]) -> DataFrame:
     """One copy of each row per criteria set, as `criteria_id` and a `criteria` struct.
 
     The sets are literals in an array that is exploded, so no join and no shuffle is planned."""
+    keys = dict.fromkeys(k for over in ({}, *sets.values()) for k in typed(over))
     options = [
         F.struct(
             F.lit(name).alias("criteria_id"),
-            F.struct(*[F.lit(v).alias(k) for k, v in typed(over).items()]).alias("criteria"),
+            F.struct(*[F.lit(typed(over).get(k, 1.0)).alias(k) for k in keys]).alias("criteria"),
         )
         for name, over in sets.items()
     ]
@@ -130,9 +139,10 @@ def attach(df: DataFrame, sets: Mapping[str, Mapping[str, Any]]) -> DataFrame:
     )
 
 
-def columns(struct_name: str = "criteria") -> Limit:
+def columns(struct_name: str = "criteria", classes_: list[str] | None = None) -> Limit:
     def limit(key: str) -> Column:
         return F.col(struct_name)[key]
 
-    limit.same_as = ("columns", struct_name)
+    limit.classes = classes_ or classes()
+    limit.same_as = ("columns", struct_name, tuple(limit.classes))
     return limit

@@ -11,8 +11,9 @@ from assayframe.functions import cells, fixed
 from assayframe.operators import columns as col
 from assayframe.operators import headers, quantiles
 from assayframe.operators import rows as rowops
+from assayframe.session import scratch_path
 
-CLASS_MAP_LIMIT = 10_000  # classes kept in the one-row map; the long table always has all of them
+CLASS_MAP_LIMIT = 10_000
 
 DATASET_SCHEMA = (
     "dataset_id string, "
@@ -26,10 +27,10 @@ DATASET_SCHEMA = (
     "snomed_columns:array<string>,loinc_codes_present:boolean,loinc_columns:array<string>,fhir_structure:boolean>, "
     "split_columns struct<split_column_detected:boolean,fold_column_detected:boolean>, "
     "label_columns struct<binary_label_detected:boolean,label_column:string,class_distribution:map<string,bigint>,"
-    "imbalance_ratio:double>, "
+    "imbalance_ratio:double,class_distribution_truncated:boolean>, "
     "age_distribution struct<min:double,max:double,under_18_pct:double,`18_to_60_pct`:double,over_60_pct:double>, "
     "schema_consistency struct<conformant_rows_pct:double,schema_violations:bigint>, "
-    "sampled boolean, sample_rows bigint, profiler_version string")
+    "sampled boolean, sample_rows bigint, profiler_version string, malformed_rows bigint, read_error string")
 
 
 @dataclass
@@ -42,18 +43,24 @@ class TableProfile:
 
 def profile(df: DataFrame, dataset_id: str | None = None, file_format: str = "csv", size_bytes: int = 0,
             filename: str | None = None, sample_limit: int | None = None, duplicates: str = "fingerprint",
-            map_limit: int = quantiles.MAP_LIMIT, fhir: bool = False) -> TableProfile:
+            map_limit: int = quantiles.MAP_LIMIT, fhir: bool = False, class_map_limit: int = CLASS_MAP_LIMIT,
+            sample_key: list[str] | None = None, malformed_rows: int = 0, read_error: str | None = None) -> TableProfile:
     """Profile a table of any size.
 
     Scans: fused column facts, quartiles, outliers, duplicates, value counts. The driver receives
     only per-column numbers and the value counts of categorical columns (at most 50 values each).
-    With `sample_limit` a larger table is reduced to that many rows first; the row count stays full."""
+    With `sample_limit` a larger table is reduced to that many rows first, drawn once and stored, so that every part of
+    the profile describes the same rows; the row count stays full. The one-row class map holds the `class_map_limit` most
+    frequent classes (ties by value) and says whether it is cut; `class_counts` always has all of them, and the ratio
+    and the binary flag are those of all classes. `malformed_rows` and `read_error` come from `readers.ingest`."""
     spark = df.sparkSession
     full_rows, sampled = None, False
     if sample_limit is not None:
         full_rows = df.count()
         if full_rows > sample_limit:
-            df, sampled = rowops.sample_rows(df, sample_limit), True
+            path = scratch_path(spark, "profile-sample")
+            rowops.sample_rows(df, sample_limit, key=sample_key).write.parquet(path)
+            df, sampled = spark.read.schema(df.schema).parquet(path), True
     kept = df.schema.fields
     flat = col.prepared(df)
     rows, facts = col.scan(flat)
@@ -76,7 +83,7 @@ def profile(df: DataFrame, dataset_id: str | None = None, file_format: str = "cs
     codes = col.standards(facts, rows)
     dup = rowops.duplicate_counts(df, duplicates).first() if rows and facts else None
 
-    label, label_counts, class_map, binary, ratio = roles["label_column"], None, {}, False, None
+    label, label_counts, class_map, binary, ratio, cut = roles["label_column"], None, {}, False, None, False
     if label:
         label_counts = rowops.class_counts(df, label)
         if label in by_column:
@@ -88,10 +95,9 @@ def profile(df: DataFrame, dataset_id: str | None = None, file_format: str = "cs
         else:
             summary = rowops.label_summary(label_counts).first()
             binary, ratio = summary["binary_label_detected"], summary["imbalance_ratio"]
-            if summary["classes"] <= CLASS_MAP_LIMIT:
-                class_map = {r["class_value"]: r["cnt"] for r in label_counts.collect()}
-            else:
-                class_map = None
+            top = label_counts.orderBy(F.desc("cnt"), "class_value").limit(class_map_limit)
+            class_map = {r["class_value"]: r["cnt"] for r in top.collect()}
+            cut = summary["classes"] > class_map_limit
 
     age, bands = roles["age_column"], None
     if age and cells.is_numeric(df.schema[age].dataType):
@@ -108,10 +114,10 @@ def profile(df: DataFrame, dataset_id: str | None = None, file_format: str = "cs
         (dup["exact_duplicate_rows"], dup["exact_duplicate_pct"]) if dup else (0, 0.0),
         (bool(codes["icd"]), codes["icd"], bool(codes["snomed"]), codes["snomed"], bool(codes["loinc"]), codes["loinc"], fhir),
         (roles["split_column_detected"], roles["fold_column_detected"]),
-        (binary, label, class_map, ratio), bands,
+        (binary, label, class_map, ratio, cut), bands,
         (col.pct_of(rows - violations, rows, 100.0) if violations <= rows
          else -col.pct_of(violations - rows, rows), violations),
-        sampled, sample_limit if sampled else None, fixed.PROFILER_VERSION,
+        sampled, sample_limit if sampled else None, fixed.PROFILER_VERSION, malformed_rows, read_error,
     )
     dataset = spark.createDataFrame([row], DATASET_SCHEMA)
     column_rows = [tuple(col.column_row(f, rows, by_column.get(f.name))) for f in facts]

@@ -22,7 +22,11 @@ def extension(name: Column) -> Column:
 
 def file_facts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(filename, format, size_bytes, encoding) of every file; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return facts_of_files(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path))
+
+
+def facts_of_files(files: DataFrame) -> DataFrame:
+    """The same from rows (path, length)."""
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(name.alias("filename"), F.coalesce(extension(name), F.lit("csv")).alias("format"),
                         F.col("length").alias("size_bytes"), F.lit("UTF-8").alias("encoding"))

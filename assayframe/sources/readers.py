@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -70,13 +71,25 @@ def typed(df: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
     return df.select(*[_as_kind(c, kinds.get(c, "string")).alias(c) if c in kinds else cells.quoted(c) for c in df.columns])
 
 
+MALFORMED = "_malformed"
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool = False,
-                   kinds: dict[str, str] | None = None) -> DataFrame:
+                   kinds: dict[str, str] | None = None, malformed: bool = False) -> DataFrame:
     """Text with a header line. `multi_line` allows line breaks inside quotes but makes a file one task.
 
-    Pass `kinds` to skip the inference pass over a large source."""
-    raw = (spark.read.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"')
-           .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path))
+    With `malformed` a column of that name holds the raw text of lines with too many or too few cells (else NULL), so
+    nothing of them is lost. Pass `kinds` to skip the inference pass over a large source."""
+    options = {"header": True, "sep": delimiter, "quote": '"', "escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE", "enforceSchema": True}
+    raw = spark.read.options(**options).csv(path)
+    if malformed and raw.columns:
+        full = T.StructType([*raw.schema.fields, T.StructField(MALFORMED, T.StringType())])
+        # lines are judged by all their cells, whichever columns a query reads
+        raw = spark.read.options(**options, columnNameOfCorruptRecord=MALFORMED, columnPruning=False).schema(full).csv(path)
+        data = na_to_null(raw.drop(MALFORMED))
+        kinds = kinds if kinds is not None else infer_kinds(data)
+        whole = raw.select(*[F.when(~cells.quoted(c).isin(fixed.NA_TOKENS), cells.quoted(c)).alias(c) for c in data.columns], MALFORMED)
+        return typed(whole, {c: k for c, k in kinds.items() if c != MALFORMED})
     return typed(na_to_null(raw), kinds)
 
 
@@ -88,11 +101,17 @@ def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
     return read_delimited(spark, path, "\t", **options)
 
 
-def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Records array (or one record per line with `lines`, which splits). Time-like names become timestamps."""
-    df = spark.read.option("multiLine", not lines).json(path)
+def read_json(spark: SparkSession, path: str, lines: bool = False, malformed: bool = False) -> DataFrame:
+    """Records array (or one record per line with `lines`, which splits). Time-like names become timestamps.
+
+    Text that is no record is not data: it is left out, or kept in the column `_malformed` when that is asked for."""
+    df = spark.read.options(multiLine=not lines, columnNameOfCorruptRecord=MALFORMED).json(path)
+    keep = [f for f in df.schema.fields if f.name != MALFORMED]
+    told = [cells.quoted(MALFORMED)] if MALFORMED in df.columns else [F.lit(None).cast("string").alias(MALFORMED)]
+    if MALFORMED in df.columns and keep and not malformed:
+        df = df.where(cells.quoted(MALFORMED).isNull() | F.coalesce(*[cells.quoted(f.name).isNotNull() for f in keep]))
     return df.select(*[F.try_to_timestamp(cells.quoted(f.name)).alias(f.name)
-                       if cells.is_text(f.dataType) and _TIME_NAME.match(f.name) else cells.quoted(f.name) for f in df.schema.fields])
+                       if cells.is_text(f.dataType) and _TIME_NAME.match(f.name) else cells.quoted(f.name) for f in keep], *(told if malformed else []))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -106,11 +125,42 @@ def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], T.StructType([]))
 
 
-def read_dataset(spark: SparkSession, path: str, file_format: str | None) -> DataFrame:
-    """Reader by format name; unknown formats read as CSV, and an unreadable source as an empty table."""
-    reader = READERS.get((file_format or "csv").lower(), read_csv)
+# What Spark reports for content that cannot be parsed; anything else (a missing path, a lost executor) is raised.
+PARSE_ERRORS = ("UNABLE_TO_INFER_SCHEMA", "is not a Parquet file", "MALFORMED_RECORD", "MALFORMED_CSV_RECORD")
+
+
+@dataclass
+class Ingested:
+    data: DataFrame
+    malformed_rows: int
+    read_error: str | None
+
+
+def _condition(error: Exception) -> str:
+    return f"{getattr(error, 'getCondition', lambda: None)() or type(error).__name__} {error}"
+
+
+def ingest(spark: SparkSession, path: str, file_format: str | None, **options) -> Ingested:
+    """Read by format name (unknown formats as CSV). Content that cannot be parsed at all gives an empty table with the
+    reason in `read_error`; malformed lines are counted; every other failure is raised."""
+    kind = (file_format or "csv").lower()
+    reader = READERS.get(kind, read_csv)
     try:
-        df = reader(spark, path)
-        return empty(spark) if df.columns == ["_corrupt_record"] else df
-    except (PySparkException, Py4JJavaError):
-        return empty(spark)
+        if kind == "parquet":
+            return Ingested(reader(spark, path, **options), 0, None)
+        df = reader(spark, path, malformed=True, **options)
+        if [c for c in df.columns if c != MALFORMED] == []:
+            return Ingested(empty(spark), 0, "no record could be read")
+        data = next(c for c in df.columns if c != MALFORMED)
+        bad = df.agg(F.count(MALFORMED).alias("n"), F.count(cells.quoted(data))).first()["n"] if MALFORMED in df.columns else 0
+        good = df.where(F.col(MALFORMED).isNull()) if kind == "json" else df
+        return Ingested(good.drop(MALFORMED), bad, None)
+    except (PySparkException, Py4JJavaError) as error:
+        if not any(x in _condition(error) for x in PARSE_ERRORS):
+            raise
+        return Ingested(empty(spark), 0, next(x for x in PARSE_ERRORS if x in _condition(error)))
+
+
+def read_dataset(spark: SparkSession, path: str, file_format: str | None) -> DataFrame:
+    """The data of `ingest`."""
+    return ingest(spark, path, file_format).data

@@ -124,7 +124,7 @@ FROM (SELECT dataset_id, contains(upper(coalesce(standards_used, '')), 'ICD') AS
 
 # ---- near copies -----------------------------------------------------------------------
 
-_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')"
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
 _BANDS_SQL = f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 g AS (SELECT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS gram FROM w WHERE len(w) > 0),
 h AS (SELECT doc_id, sha256(gram) AS h FROM g),
@@ -174,11 +174,11 @@ QUERIES["lifecycle_latest"] = lambda s, d: catalog.lifecycle(view(s, d, "fx_audi
 ORACLE["lifecycle_latest"] = cte("fx_audit") + f""", a AS (SELECT assessment_id, last(event_type ORDER BY event_timestamp, log_id) AS last_event, max(event_timestamp) AS last_at, count(*) AS events,
   {_FIRST.format('submitted')} AS submitted_at, {_FIRST.format('started')} AS started_at, least({_FIRST.format('complete')}, {_FIRST.format('failed')}) AS ended_at FROM fx_audit GROUP BY assessment_id)
 SELECT *, CAST(trunc((epoch_us(started_at) - epoch_us(submitted_at)) / 1000000.0) AS BIGINT) AS queue_seconds, CAST(trunc((epoch_us(ended_at) - epoch_us(started_at)) / 1000000.0) AS BIGINT) AS processing_seconds FROM a"""
-QUERIES["slo"] = lambda s, d: catalog.service_levels(view(s, d, "fx_audit")).select("hour", "runs", "failed", "failure_rate", "webhook_failures", "longest_seconds")
+QUERIES["slo"] = lambda s, d: catalog.service_levels(view(s, d, "fx_audit")).select("hour", "runs", "failed", "failure_rate", "webhook_failures", "unsubmitted", "reversed", "longest_seconds")
 ORACLE["slo"] = cte("fx_audit") + f""", r AS (SELECT assessment_id, {_FIRST.format('submitted')} AS submitted, {_FIRST.format('complete')} AS complete, {_FIRST.format('failed')} AS failed,
   count(*) FILTER (event_type = 'webhook_failed') AS unsent FROM fx_audit GROUP BY assessment_id),
-t AS (SELECT *, CAST(trunc((epoch_us(coalesce(complete, failed)) - epoch_us(submitted)) / 1000000.0) AS BIGINT) AS took FROM r WHERE submitted IS NOT NULL)
-SELECT date_trunc('hour', submitted) AS hour, count(*) AS runs, count(failed) AS failed, round(count(failed) / count(*), 6) AS failure_rate, CAST(sum(unsent) AS BIGINT) AS webhook_failures,
+t AS (SELECT *, CAST(trunc((epoch_us(coalesce(complete, failed)) - epoch_us(submitted)) / 1000000.0) AS BIGINT) AS took FROM r)
+SELECT date_trunc('hour', submitted) AS hour, count(*) AS runs, count(failed) AS failed, round(count(failed) / count(*), 6) AS failure_rate, CAST(sum(unsent) AS BIGINT) AS webhook_failures, count(*) FILTER (submitted IS NULL) AS unsubmitted, count(*) FILTER (took < 0) AS reversed,
   max(took) FILTER (took >= 0) AS longest_seconds FROM t GROUP BY 1"""
 
 
@@ -201,17 +201,16 @@ QUERIES["throttle_tumbling"] = lambda s, d: throttle.tumbling_attempts(_bursts(s
 ORACLE["throttle_tumbling"] = """SELECT user_id % 20 AS client, t // 60000000 * 60000000 AS opened, count(*) AS attempts FROM (SELECT user_id, 1704067200000000 + (epoch_us(ts) - 1704067200000000) // 1000 AS t FROM events)
 GROUP BY 1, 2 HAVING count(*) > 5"""
 
-_ENTRY = "concat_ws('|', log_id, event_type, strftime(event_timestamp, '%Y-%m-%d %H:%M:%S'), event_detail)"
+_ENTRY = "concat_ws('|', log_id, event_type, epoch_us(event_timestamp), event_detail)"
 
 
 def q_chain(s, d):
-    audit = view(s, d, "fx_audit").withColumn("event_timestamp", F.date_trunc("second", F.col("event_timestamp").cast("timestamp")))
-    return catalog.chain_blocks(audit)
+    return catalog.chain_blocks(view(s, d, "fx_audit"))
 
 
 QUERIES["hash_chain"] = q_chain
 ORACLE["hash_chain"] = cte("fx_audit") + f""", d AS (SELECT assessment_id, CAST(event_timestamp AS DATE) AS block, count(*) AS entries,
-  list({_ENTRY} ORDER BY date_trunc('second', event_timestamp), log_id) AS items FROM fx_audit GROUP BY 1, 2),
+  list({_ENTRY} ORDER BY event_timestamp, log_id) AS items FROM fx_audit GROUP BY 1, 2),
 g AS (SELECT assessment_id, block, entries, list_reduce(list_prepend('', items), lambda acc, x: sha256(acc || '|' || x)) AS digest FROM d),
 c AS (SELECT *, list(digest) OVER (PARTITION BY assessment_id ORDER BY block) AS past FROM g)
 SELECT assessment_id, block, entries, digest, list_reduce(list_prepend('', past), lambda acc, x: sha256(acc || '|' || x)) AS chained FROM c"""
@@ -219,14 +218,16 @@ SELECT assessment_id, block, entries, digest, list_reduce(list_prepend('', past)
 
 def q_verify(s, d):
     """Blocks of a log with planted changes that no longer match the stored chain."""
-    audit = view(s, d, "fx_audit").withColumn("event_timestamp", F.date_trunc("second", F.col("event_timestamp").cast("timestamp")))
+    audit = view(s, d, "fx_audit")
     stored = catalog.chain_blocks(audit)
-    touched = audit.withColumn("event_detail", F.when(F.col("log_id") % 2003 == 1, F.lit("{}")).otherwise(F.col("event_detail")))
+    moved = F.col("event_timestamp") + F.expr("INTERVAL '0.000001' SECOND")  # one microsecond later, same second
+    touched = audit.withColumns({"event_detail": F.when(F.col("log_id") % 2003 == 1, F.lit("{}")).otherwise(F.col("event_detail")),
+                                 "event_timestamp": F.when(F.col("log_id") % 4001 == 2, moved).otherwise(F.col("event_timestamp"))})
     return catalog.verify_chain(touched, stored)
 
 
 QUERIES["hash_chain_verify"] = q_verify
-ORACLE["hash_chain_verify"] = cte("fx_audit") + """, t AS (SELECT assessment_id, min(CAST(event_timestamp AS DATE)) AS since FROM fx_audit WHERE log_id % 2003 = 1 AND event_detail <> '{}' GROUP BY 1)
+ORACLE["hash_chain_verify"] = cte("fx_audit") + """, t AS (SELECT assessment_id, min(CAST(event_timestamp AS DATE)) AS since FROM fx_audit WHERE (log_id % 2003 = 1 AND event_detail <> '{}') OR log_id % 4001 = 2 GROUP BY 1)
 SELECT DISTINCT assessment_id, CAST(event_timestamp AS DATE) AS block FROM fx_audit JOIN t USING (assessment_id) WHERE CAST(event_timestamp AS DATE) >= since"""
 
 # ---- streams ---------------------------------------------------------------------------
@@ -341,7 +342,7 @@ def _written(kind: str):
         out = scratch_path(s, kind)
         raw = _raw(s, d)
         if kind == "json":
-            raw.where(F.col("segment") != "").write.json(out)
+            raw.write.json(out)
             return readers.read_json(s, out, lines=True).groupBy("flag").agg(F.count(F.lit(1)).alias("rows"), F.count("segment").alias("segments"))
         raw.write.option("header", True).option("sep", "\t" if kind == "tsv" else ",").csv(out)
         df = readers.read_dataset(s, out, kind)
@@ -357,7 +358,7 @@ for _kind in ("csv", "tsv"):
   CAST(sum(TRY_CAST(nation AS BIGINT)) AS BIGINT) AS nation_sum, round(sum(CAST(amount AS DOUBLE)), 2) AS amount_sum FROM r GROUP BY 1"""
     ORACLE[f"read_{_kind}"] = ORACLE[f"read_{_kind}"].replace("TRY_CAST(nation AS BIGINT)", f"CASE WHEN nation NOT IN ({_NA}) THEN CAST(nation AS BIGINT) END")
 QUERIES["read_json"] = _written("json")
-ORACLE["read_json"] = _READ + "SELECT flag, count(*) AS rows, count(segment) AS segments FROM r WHERE segment <> '' GROUP BY flag"
+ORACLE["read_json"] = _READ + "SELECT flag, count(*) AS rows, count(segment) AS segments FROM r GROUP BY flag"
 
 
 # ---- archives and files ----------------------------------------------------------------
@@ -391,7 +392,10 @@ QUERIES["zip_lines"] = lambda s, d: archives.member_lines(archives.first_members
     "archive", F.col("fields")[0].alias("id"), F.col("fields")[1].alias("name"))
 ORACLE["zip_lines"] = "SELECT 'archive-' || c_custkey || '.zip' AS archive, CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 2 = 1"
 
-QUERIES["file_facts"] = lambda s, d: files.file_facts(s, d, "*.parquet")  # rows only: the checking engine sees no files
+_PATHS = "SELECT concat('store/', source, '/doc.', CAST(doc_id AS STRING), CASE doc_id % 4 WHEN 0 THEN '.CSV' WHEN 1 THEN '' WHEN 2 THEN '.json' ELSE '.tar.gz' END) AS path, n_chars AS length FROM documents"
+QUERIES["file_facts"] = lambda s, d: files.facts_of_files(run_sql(s, d, _PATHS, "documents"))
+ORACLE["file_facts"] = """SELECT 'doc.' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.CSV' WHEN 1 THEN '' WHEN 2 THEN '.json' ELSE '.tar.gz' END AS filename,
+  CASE doc_id % 4 WHEN 0 THEN 'csv' WHEN 1 THEN CAST(doc_id AS VARCHAR) WHEN 2 THEN 'json' ELSE 'gz' END AS format, n_chars AS size_bytes, 'UTF-8' AS encoding FROM documents"""
 
 
 def _contents(s, d):

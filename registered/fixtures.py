@@ -141,12 +141,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores when the source has fewer files than cores.
+    """Rows dealt over all cores.
 
     A supplied table is one file with one row group, hence one task; work that is heavy per row gains
-    from the extra exchange. A table of many files is returned as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    from the extra exchange. The setting `assayframe.spread` = false leaves tables of many files as they are."""
+    session = df.sparkSession
+    return df.repartition(session.sparkContext.defaultParallelism) if session.conf.get("assayframe.spread", "true") == "true" else df
 
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str, source: str, heavy: bool = False) -> DataFrame:
