@@ -153,8 +153,7 @@ def ingest(spark: SparkSession, path: str, file_format: str | None, **options) -
             return Ingested(empty(spark), 0, "no record could be read")
         data = next(c for c in df.columns if c != MALFORMED)
         bad = df.agg(F.count(MALFORMED).alias("n"), F.count(cells.quoted(data))).first()["n"] if MALFORMED in df.columns else 0
-        good = df.where(F.col(MALFORMED).isNull()) if kind == "json" else df
-        return Ingested(good.drop(MALFORMED), bad, None)
+        return Ingested(reader(spark, path, **options) if kind == "json" else df.drop(MALFORMED), bad, None)
     except (PySparkException, Py4JJavaError) as error:
         if not any(x in _condition(error) for x in PARSE_ERRORS):
             raise
