@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from assayframe.functions import fixed
 from assayframe.operators import catalog, privacy, quality, throttle
 from assayframe.plans import assess as plan
+from assayframe.plans import profile
 from assayframe.session import scratch_path
 from assayframe.sources import archives, files, fhir, readers, sinks
 from assayframe.streaming import events as ev
 from registered import scoring
-from registered.fixtures import cte, run_sql, spread, table, view
+from registered.fixtures import SQL, cte, run_sql, spread, table, view
 from registered.profiling import pct_sql
 
 QUERIES = {}
@@ -167,6 +168,36 @@ ORACLE["cqi_percent_rank"] = _ASSESSED + " SELECT dataset_id, cqi, round(percent
 QUERIES["band_search"] = lambda s, d: catalog.search(_results(s, d), ["Gold", "Platinum"], ["Low", "Moderate"], ["Open", "Controlled"]).select("dataset_id", "cqi", "prs", "release_class")
 ORACLE["band_search"] = _ASSESSED + " SELECT dataset_id, cqi, prs, release_class FROM assessed WHERE cqi_band IN ('Gold', 'Platinum') AND prs_band IN ('Low', 'Moderate') AND release_class IN ('Open', 'Controlled')"
 
+# ---- raw table to result ---------------------------------------------------------------
+
+_TABLES = [("fx_patients", "parquet", 1000), ("customer", "csv", 20_000_000), ("part", "json", 500), ("supplier", "xlsx", 30_000_000)]
+
+
+def q_assess_tables(s, d):
+    """Four tables are profiled; every form, dealt to one of them, is assessed with what was measured."""
+    facts = None
+    for i, (name, kind, size) in enumerate(_TABLES):
+        df = view(s, d, name) if name.startswith("fx_") else table(s, d, name)
+        one = profile.facts_of(profile.profile(df, dataset_id=str(i), file_format=kind, size_bytes=size).dataset)
+        facts = one if facts is None else facts.unionAll(one)
+    facts = facts.withColumn("table_no", F.col("dataset_id").cast("bigint")).drop("dataset_id")
+    measured = ["overall_completeness_pct", "direct_identifiers_detected", "icd_codes_present", "imbalance_ratio"]  # a form has none of these
+    forms = view(s, d, "fx_catalog").drop(*measured).withColumn("table_no", F.col("dataset_id") % len(_TABLES))
+    done = plan.assess(plan.combine(forms, facts, "table_no"), texts=False)
+    return done.select("dataset_id", "file_format", "size_bytes", "overall_completeness_pct", "imbalance_ratio", "cqi", "cqi_band", "prs", "prs_band", "release_class")
+
+
+QUERIES["assess_tables"] = q_assess_tables
+_PATIENT_COLS = ["id", "age", "bmi", "sex", "patient_name", "site", "treatment_outcome", "district_id", "balance"]
+ORACLE["assess_tables"] = cte("fx_patients") + f""", forms AS ({SQL["fx_catalog"].strip()}),
+facts(t, kind, size, pct, ids, ratio) AS (
+  SELECT 0, 'parquet', 1000, (SELECT {pct_sql(' + '.join(f'count({c})' for c in _PATIENT_COLS), f'count(*) * {len(_PATIENT_COLS)}')} FROM fx_patients), true,
+    (SELECT {pct_sql('max(n)', 'min(n) * 100')} FROM (SELECT count(*) AS n FROM fx_patients GROUP BY treatment_outcome))
+  UNION ALL SELECT 1, 'csv', 20000000, 100.0, false, NULL UNION ALL SELECT 2, 'json', 500, 100.0, false, NULL UNION ALL SELECT 3, 'xlsx', 30000000, 100.0, false, NULL),
+fx_catalog AS (SELECT forms.* REPLACE (kind AS file_format, CAST(size AS BIGINT) AS size_bytes, pct AS overall_completeness_pct, ids AS direct_identifiers_detected,
+  false AS icd_codes_present, ratio AS imbalance_ratio) FROM forms JOIN facts ON dataset_id % 4 = t)""" + scoring.assessed_ctes() + """
+SELECT dataset_id, file_format, size_bytes, overall_completeness_pct, imbalance_ratio, cqi, cqi_band, prs, prs_band, release_class FROM assessed"""
+
 # ---- event log -------------------------------------------------------------------------
 
 _FIRST = "min(event_timestamp) FILTER (event_type = 'assessment_{}')"
