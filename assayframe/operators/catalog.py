@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayframe.session import stored
+
 
 def with_previous(df: DataFrame, key: str, order: list[str], values: list[str], chunk: Column) -> DataFrame:
     """Add prev_<value>: the values of the preceding row of the same key.
@@ -14,6 +16,7 @@ def with_previous(df: DataFrame, key: str, order: list[str], values: list[str],
     (key, chunk); the last row of each chunk is an aggregate, and the first row of a chunk takes it
     from the chunk before. `chunk` must not decrease along `order`."""
     at = F.struct(*order)
+    df = stored(df, "series")  # two branches read it
     rows = df.withColumn("_chunk", chunk)
     inside = W.partitionBy(key, "_chunk").orderBy(*order)
     rows = rows.withColumn("_here", F.lag(F.struct(*values)).over(inside)).withColumn("_nth", F.row_number().over(inside))
@@ -47,6 +50,7 @@ def with_percent_rank(results: DataFrame, value: str = "cqi") -> DataFrame:
     """Add percent_rank of a score with one decimal in 0..100.
 
     Such a score has at most 1001 values, so the ranks come from a table of that size."""
+    results = stored(results, "scores")  # two branches read it
     counts = results.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     upto = W.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy()

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from assayframe.functions import cells, fixed
 from assayframe.operators import columns, headers, quantiles
+from assayframe.session import stored
 
 
 def unpivot(df: DataFrame, keys: list[str], only: list[str] | None = None) -> DataFrame:
@@ -25,13 +26,15 @@ def unpivot(df: DataFrame, keys: list[str], only: list[str] | None = None) -> Da
 
 
 def profile_by(df: DataFrame, keys: list[str], only: list[str] | None = None) -> DataFrame:
-    """Column profile per group. The cells are pre-counted per value once; moments, distinct counts,
-    quartiles and outliers all read those counts, so a hot group or value is collapsed map-side."""
+    """Column profile per group. The cells are counted per value once and stored; distinct counts, quartiles and
+    outliers all read those counts, so a hot group or value is collapsed map-side. Text travels as 96 bits of hash, never whole. The source
+    is scanned twice: for the counts and for the moments."""
     cells_long = unpivot(df, keys, only)
     by = [*keys, "column_name"]
-    counted = cells_long.groupBy(*by, "kind", "num", "txt").agg(F.count(F.lit(1)).alias("cnt"))
-    v, n = F.col("num"), F.col("cnt")
-    present = v.isNotNull() | F.col("txt").isNotNull()
+    told = cells_long.select(*by, "kind", "num", (F.col("num").isNotNull() | F.col("txt").isNotNull()).alias("present"),
+                             F.when(F.col("txt").isNotNull(), F.xxhash64("txt")).alias("t1"), F.when(F.col("txt").isNotNull(), F.hash("txt")).alias("t2"))
+    counted = stored(told.groupBy(*by, "kind", "num", "present", "t1", "t2").agg(F.count(F.lit(1)).alias("cnt")), "cell-counts")
+    v, n, present = F.col("num"), F.col("cnt"), F.col("present")
     bounds = {}
     for f in df.schema.fields:
         if headers.range_rule(f.name):

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from assayframe.functions import cells
 
+PAIRS_AT_ONCE = 500
+
 
 def orphan_counts(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """(child_rows, orphan_rows, orphan_keys): child values with no parent. Child keys are pre-counted, so a
@@ -44,16 +46,23 @@ def undescribed(columns: DataFrame, dictionary: DataFrame, key: str = "dataset_i
 def correlations(df: DataFrame, names: list[str], label: Column | str | None = None, leak: float = 0.95) -> DataFrame:
     """(left, right, r, leak): Pearson correlation of every pair of named columns, or of each with the label.
 
-    All pairs share one pass; only one set of running sums per pair is aggregated."""
+    `PAIRS_AT_ONCE` pairs share one pass; only one set of running sums per pair is aggregated."""
     cols = {n: cells.quoted(n).cast("double") for n in names}
     if label is not None:
         target = F.col(label) if isinstance(label, str) else label
         pairs = [(n, "label", cols[n], target.cast("double")) for n in names]
     else:
         pairs = [(a, b, cols[a], cols[b]) for i, a in enumerate(names) for b in names[i + 1:]]
-    agg = df.agg(*[F.corr(x, y).alias(f"r{i}") for i, (_, _, x, y) in enumerate(pairs)])
-    items = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.round(F.col(f"r{i}"), 6).alias("r")) for i, (a, b, _, _) in enumerate(pairs)]
-    return agg.select(F.inline(F.array(*items))).withColumn("leak", F.coalesce(F.abs("r") >= leak, F.lit(False)))
+    out = None
+    for start in range(0, len(pairs), PAIRS_AT_ONCE):
+        part = pairs[start:start + PAIRS_AT_ONCE]
+        agg = df.agg(*[F.corr(x, y).alias(f"r{i}") for i, (_, _, x, y) in enumerate(part)])
+        items = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.round(F.col(f"r{i}"), 6).alias("r")) for i, (a, b, _, _) in enumerate(part)]
+        rows = agg.select(F.inline(F.array(*items)))
+        out = rows if out is None else out.unionAll(rows)
+    if out is None:
+        out = df.sparkSession.createDataFrame([], "left string, right string, r double")
+    return out.withColumn("leak", F.coalesce(F.abs("r") >= leak, F.lit(False)))
 
 
 def parity(df: DataFrame, column: str, reference: dict[str, float] | None = None, tolerance: float = 0.1) -> DataFrame:

@@ -35,28 +35,25 @@ def exact_quantiles(df: DataFrame, counts: dict[str, int], probs: Sequence[float
             if n > map_limit:
                 pos = p * (n - 1)
                 brackets[(c, i)] = _Bracket(n, math.floor(pos), math.ceil(pos))
-    for _ in range(12):
+    while True:
         wide = {k: b for k, b in brackets.items() if b.inside > map_limit and b.low != b.high}
-        if not wide:
+        before = {k: (b.low, b.high, b.inside) for k, b in wide.items()}
+        if wide:
+            _narrow(df, wide, probs)
+        if all((b.low, b.high, b.inside) == before[k] for k, b in wide.items()):
             break
-        _narrow(df, wide, probs)
     small = [c for c, n in counts.items() if 0 < n <= map_limit]
     if small:  # one group per column, so the columns are finished in parallel
         pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(_q(c)).alias("v")) for c in small])
         found = df.select(F.inline(pairs)).groupBy("c").agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
         out.update({r["c"]: list(r["q"]) for r in found.collect()})
-    exprs, slots = [], []
-    for c, n in counts.items():
-        if n > map_limit:
-            for i, p in enumerate(probs):
-                b, v = brackets[(c, i)], F.col(_q(c))
-                held = F.greatest(F.least(v, F.lit(b.high)), F.lit(b.low))
-                exprs.append(F.percentile(F.when(v.isNotNull(), held), F.lit(float(p))))
-                slots.append((c, i))
-    if exprs:
-        row = df.agg(*[e.alias(f"q{j}") for j, e in enumerate(exprs)]).first()
-        for value, (c, i) in zip(row, slots):
-            out[c][i] = value
+    if brackets:  # values clamped to their bracket are counted first, so one (column, probability) is one bounded map
+        held = [F.struct(F.lit(c).alias("c"), F.lit(i).alias("i"), F.when(F.col(_q(c)).isNotNull(), F.greatest(F.least(F.col(_q(c)), F.lit(b.high)), F.lit(b.low))).alias("v"))
+                for (c, i), b in brackets.items()]
+        counted = df.select(F.inline(F.array(*held))).where(F.col("v").isNotNull()).groupBy("c", "i", "v").agg(F.count(F.lit(1)).alias("n"))
+        each = F.percentile("v", F.array(*[F.lit(float(p)) for p in probs]), F.col("n"))
+        for r in counted.groupBy("c", "i").agg(each.alias("q")).collect():
+            out[r["c"]][r["i"]] = r["q"][r["i"]]
     return out
 
 
