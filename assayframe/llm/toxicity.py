@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from assayframe.llm.common import crc_mod, small_batches, written
 
 SAMPLE = 20_000
-LEXICON = 300
+LEXICON = 2000
+CONTEXTS = 6
 CANDIDATES = 20_000
 THRESHOLD = 0.3
 # Second-person words of English, German, French and Spanish.
@@ -95,19 +96,20 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON, candidates: int = CANDIDATES) -> list[str]:
-    """At most `size` words that stand in many contexts of toxic texts and in few clean texts. Contexts are counted over all
-    toxic training rows; the `candidates` words with most contexts are then counted over all clean ones."""
+    """At most `size` words that stand in many contexts of toxic texts and in few clean texts. Contexts (the word
+    before a word's first place in a text) are counted over all toxic training rows, `CONTEXTS` at least; the `candidates` words with most contexts are then counted over all clean ones."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = set()
+            found: dict[tuple[str, str], int] = {}
             for text in batch.column(0).to_pylist():
                 words = words_of(text or "")
-                found.update(zip(words, ["", *words]))
+                for pair in dict(zip(reversed(words), reversed(list(zip(words, ["", *words]))))).values():
+                    found[pair] = found.get(pair, 0) + 1  # a word counts once a text, with what stands before its first place
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([p for _, p in found], pa.string())], ["w", "p"])
 
     pairs = rows.where("toxic > 0").select("text").mapInArrow(contexts, "w string, p string").groupBy("w", F.xxhash64("p")).agg(F.lit(1))
-    seen = pairs.groupBy("w").agg(F.count("*").alias("t")).where("t >= 5").orderBy(F.desc("t"), "w").limit(candidates).collect()
+    seen = pairs.groupBy("w").agg(F.count("*").alias("t")).where(F.col("t") >= CONTEXTS).orderBy(F.desc("t"), "w").limit(candidates).collect()
     bad = {r["w"]: r["t"] for r in seen}
     wanted = frozenset(bad)
 
@@ -121,9 +123,7 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON, candidates: int = CANDID
 
     counted = rows.where("toxic <= 0").select("text").mapInArrow(clean, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
     often = {r["w"]: r["n"] for r in counted}
-    told = sorted((-t / (often.get(w, 0) + 1), w) for w, t in bad.items() if t > 4 * often.get(w, 0))[:size]
-    most = max((bad[w] for _, w in told), default=0)
-    return [w for _, w in told if bad[w] >= 0.1 * most]
+    return [w for _, w in sorted((-t / (often.get(w, 0) + 1), w) for w, t in bad.items() if t > 8 * often.get(w, 0))[:size]]
 
 
 class Model:
