@@ -1,6 +1,6 @@
 """Toxicity scores: gradient-boosted trees over dense text features, calibrated by isotonic regression.
 
-The lexicon is counted over all labelled training rows: a word enters when it stands after many different words in toxic
+The lexicon is counted over two thirds of the labelled training rows, all of them: a word enters when it stands after many different words in toxic
 texts and hardly in clean ones (contexts, not copies, so that a text copied a thousand times adds nothing). Only the
 classifier and the calibration are fitted on a bounded sample, `SAMPLE` labelled rows chosen by a hash of the id."""
 
@@ -22,7 +22,7 @@ from assayframe.llm.common import crc_mod, small_batches, written
 
 SAMPLE = 20_000
 LEXICON = 2000
-CONTEXTS = 6
+CONTEXTS = 4
 CANDIDATES = 20_000
 THRESHOLD = 0.3
 # Second-person words of English, German, French and Spanish.
@@ -31,7 +31,7 @@ YOU = frozenset("you your yours yourself u ur du dich dir dein deine deinen euch
 SEED_WORDS = frozenset(("idiot idiots moron morons stupid dumb loser losers scum trash worthless pathetic disgusting clown imbecile "
                         "idiota imbécil estúpido estúpida basura idiote imbécile crétin stupide ordure dummkopf vollidiot arschloch abschaum").split())
 PLAIN = str.maketrans("013457@$!|", "oieastasii")
-EDGE = re.compile(r"^[^\w@$]+|[^\w@$!]+$")
+EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$")
 MARKS = re.compile(r"[!?]")
 ODD = re.compile(r"[^\w\s.,;:'\"!?()-]")
 LEET = re.compile(r"(?<=[^\W\d_])[0-9@$!|*#]+(?=[^\W\d_])")
@@ -62,7 +62,7 @@ def features(text: str | None, lexicon: frozenset[str]) -> list[float]:
         if kind is None:
             w = EDGE.sub("", x)
             kind = 1 if w in lexicon else 3 if w in YOU else 0
-            if not kind and not w.isalpha() and unhidden(x) in lexicon:
+            if not kind and not w.isalpha() and unhidden(w) in lexicon:
                 kind = 2
             seen[x] = kind
         if kind:
@@ -162,21 +162,26 @@ def feature_column(text, lexicon: frozenset[str]):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from the labelled training rows. With no row of one of the classes every score is 0."""
+    """Learn from the labelled training rows: the lexicon from two thirds of them, the classifier and its calibration from
+    about `sample` of the others. With no row of one of the classes every score is 0."""
     rows = written(training_rows(small_batches(docs), labels), "toxic-rows")
     have = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    lexicon = frozenset(learn_lexicon(rows)) | SEED_WORDS
+    # trees must see words the lexicon took by chance, so they learn from texts it was not counted on
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("lexicon")), F.lit(3)) == 0
+    lexicon = frozenset(learn_lexicon(rows.where(~fold))) | SEED_WORDS
     if not have.get(0) or not have.get(1):
         return Model(lexicon, None, None)
-    share = min(1.0, sample / sum(have.values()))
+    share = min(1.0, 3 * sample / sum(have.values()))
     pick = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
-    few = rows.where(pick < int(share * 1_000_000)).select(
+    few = rows.where(fold & (pick < int(share * 1_000_000))).select(
         F.col("toxic").cast("double").alias("label"), array_to_vector(feature_column(F.col("text"), lexicon)).alias("_features"),
         (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) == 0).alias("calibrates"))
     few = written(few, "toxic-sample").coalesce(4)
     fit, hold = few.where("not calibrates"), few.where("calibrates")
     if fit.select("label").distinct().count() < 2 or hold.select("label").distinct().count() < 2:
         fit = hold = few
+    if few.select("label").distinct().count() < 2:
+        return Model(lexicon, None, None)
     learner = GBTClassifier(labelCol="label", featuresCol="_features", predictionCol="_predicted", maxIter=12, maxDepth=3, stepSize=0.3, seed=7)
     trees = learner.setRawPredictionCol("_raw").setProbabilityCol("_prob").fit(fit)
     seen = trees.transform(hold).select("label", vector_to_array("_prob")[1].alias("p"))
