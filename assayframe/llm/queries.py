@@ -52,3 +52,20 @@ QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_sharding, op3_html_extraction, op4_embedding_near_dedup, op5_lm_scoring, op6_simhash,
     op7_license_scan, op8_substring_dedup, op9_toxicity, op10_bpe)}
 ORACLE: dict[str, str] = {}
+ORACLE["op4_embedding_near_dedup"] = """WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM e UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x), degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM e JOIN least ON least.x = vec_id LEFT JOIN degree ON degree.x = vec_id"""
+
+
+def _grams(table_name: str, key: str) -> str:
+    words = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+    return (f"SELECT DISTINCT {key}, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), "
+            f"lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM (SELECT {key}, {words} AS w FROM {table_name}) WHERE len(w) > 0")
+
+
+ORACLE["op1_decontamination"] = f"""WITH d AS ({_grams("documents", "doc_id")}), i AS ({_grams("benchmark", "item_id")}), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1)
+SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_found, CAST(count(*) AS DOUBLE) / n AS containment FROM d JOIN i USING (g) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n HAVING 5 * count(*) >= 4 * n"""
