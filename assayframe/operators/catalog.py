@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 
 from assayframe.session import stored
 
+MAX_SCORES = 1001  # values of a score with one decimal in 0..100
 
-def with_previous(df: DataFrame, key: str, order: list[str], values: list[str], chunk: Column) -> DataFrame:
-    """Add prev_<value>: the values of the preceding row of the same key.
+
+def with_previous(df: DataFrame, key: str, order: list[str], values: list[str], chunk: Column | None = None) -> DataFrame:
+    """Add prev_<value>: the values of the preceding row of the same key; rows without a key form one series.
 
     A plain window would sort all rows of a hot key in one task. Here rows are ordered inside
     (key, chunk); the last row of each chunk is an aggregate, and the first row of a chunk takes it
-    from the chunk before. `chunk` must not decrease along `order`."""
+    from the chunk before. Chunks are ranges of (key, order) of about equal size, so a hot key spreads over many
+    wherever its rows stand in time; a `chunk` of one's own must not decrease along `order`."""
     at = F.struct(*order)
-    df = stored(df, "series")  # two branches read it
-    rows = df.withColumn("_chunk", chunk)
+    cut = df.repartitionByRange(key, *order).withColumn("_chunk", F.spark_partition_id()) if chunk is None else df.withColumn("_chunk", chunk)
+    rows = stored(cut, "series")  # two branches read it
+    ends = rows.groupBy(F.col(key).alias("_of"), F.col("_chunk").alias("_part")).agg(F.max_by(F.struct(*values), at).alias("_end"))
+    before = ends.select("_of", "_part", F.lag("_end").over(W.partitionBy("_of").orderBy("_part")).alias("_there"))
     inside = W.partitionBy(key, "_chunk").orderBy(*order)
     rows = rows.withColumn("_here", F.lag(F.struct(*values)).over(inside)).withColumn("_nth", F.row_number().over(inside))
-    ends = df.withColumn("_chunk", chunk).groupBy(key, "_chunk").agg(F.max_by(F.struct(*values), at).alias("_end"))
-    before = ends.select(key, "_chunk", F.lag("_end").over(W.partitionBy(key).orderBy("_chunk")).alias("_there"))
-    joined = rows.join(before, [key, "_chunk"], "left")
+    joined = rows.join(before, F.col(key).eqNullSafe(F.col("_of")) & F.col("_chunk").eqNullSafe(F.col("_part")), "left")
     prev = F.when(F.col("_nth") > 1, F.col("_here")).otherwise(F.col("_there"))
     return joined.select(*df.columns, *[prev[v].alias(f"prev_{v}") for v in values])
 
@@ -30,7 +33,6 @@ def with_previous(df: DataFrame, key: str, order: list[str], values: list[str],
 def score_deltas(results: DataFrame, key: str = "dataset_id", at: str = "submitted_at", tie: str = "assessment_id",
                  chunk: Column | None = None) -> DataFrame:
     """Change of cqi and prs against the assessment before it of the same dataset."""
-    chunk = chunk if chunk is not None else F.date_trunc("quarter", at)
     out = with_previous(results, key, [at, tie], ["cqi", "prs"], chunk)
     return out.withColumn("cqi_delta", F.round(F.col("cqi") - F.col("prev_cqi"), 1)).withColumn("prs_delta", F.col("prs") - F.col("prev_prs"))
 
@@ -47,16 +49,25 @@ def cross_distribution(results: DataFrame, *by: str) -> DataFrame:
 
 
 def with_percent_rank(results: DataFrame, value: str = "cqi") -> DataFrame:
-    """Add percent_rank of a score with one decimal in 0..100.
-
-    Such a score has at most 1001 values, so the ranks come from a table of that size."""
-    results = stored(results, "scores")  # two branches read it
-    counts = results.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = W.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy()
-    ranks = counts.select(value, (F.sum("_n").over(upto) - F.col("_n")).alias("_less"), F.sum("_n").over(whole).alias("_all"))
-    share = F.when(F.col("_all") > 1, F.col("_less") / (F.col("_all") - 1)).otherwise(F.lit(0.0))
-    return results.join(ranks, value).withColumn("percent_rank", F.round(share, 6)).drop("_less", "_all")
+    """Add percent_rank of a score with one decimal in 0..100; rows without a score rank first, like the least value.
+
+    Such a score has at most 1001 values, so the ranks are a literal map of that size and no row moves. A column with
+    more distinct values is no such score and is refused."""
+    results = stored(results, "scores")  # two passes read it
+    counts = results.groupBy(value).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col(value).asc_nulls_first()).limit(MAX_SCORES + 2).collect()
+    if len(counts) > MAX_SCORES + 1:
+        raise ValueError(f"{value} has more than {MAX_SCORES} distinct values")
+    total, less, ranks, none = sum(r["n"] for r in counts), 0, [], 0.0
+    for r in counts:
+        share = round(less / (total - 1), 6) if total > 1 else 0.0
+        if r[value] is None:
+            none = share
+        else:
+            ranks += [F.lit(r[value]).cast(results.schema[value].dataType), F.lit(share)]
+        less += r["n"]
+    if not ranks:
+        return results.withColumn("percent_rank", F.lit(none))
+    return results.withColumn("percent_rank", F.when(F.col(value).isNull(), none).otherwise(F.try_element_at(F.create_map(*ranks), F.col(value))))
 
 
 def search(results: DataFrame, cqi_bands: list[str] | None = None, prs_bands: list[str] | None = None,

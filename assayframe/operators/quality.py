@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayframe.functions import cells
+from assayframe.session import stored
 
 PAIRS_AT_ONCE = 500
+SALTS = 16  # parts of one key in joins with a table of one row a key
 
 
 def orphan_counts(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
@@ -24,10 +26,12 @@ def orphan_counts(child: DataFrame, child_key: str, parent: DataFrame, parent_ke
 
 def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Child rows whose key has no parent; rows without a key are not orphans. Only distinct keys are compared, so a hot key
-    is one row in that step; the missing keys then pick their rows."""
+    is one row in that step; the missing keys then pick their rows, each key in `SALTS` parts."""
     keys = child.where(F.col(child_key).isNotNull()).select(child_key).distinct()
     missing = keys.join(parent.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_anti")
-    return child.join(missing, child_key, "left_semi")
+    missing = missing.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = child.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))  # any stable part will do
+    return dealt.join(missing, [child_key, "_salt"], "left_semi").select(child.columns)
 
 
 def dictionary_coverage(columns: DataFrame, dictionary: DataFrame, key: str = "dataset_id", name: str = "column_name") -> DataFrame:
@@ -177,10 +181,13 @@ def near_copies(df: DataFrame, key: str, text: str, size: int = 3) -> DataFrame:
     """(key, copy_of): rows that share a band with a row of smaller key, with the smallest such key.
 
     Each bucket only learns its least key (a partial aggregation), and every row is compared with that one,
-    so a bucket holding a third of all rows costs no more per row than any other; no pairs are formed."""
-    bands = shingle_bands(df, key, text, size)
+    and no pairs are formed. Heads of shared buckets go to every one of `SALTS` parts, so the rows of a bucket that holds
+    a third of the table meet theirs in as many tasks. The bands are computed once and stored."""
+    bands = stored(shingle_bands(df, key, text, size), "bands")
     heads = bands.groupBy("band", "value").agg(F.min(key).alias("_head"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    hits = bands.join(heads, ["band", "value"]).where(F.col("_head") != F.col(key))
+    heads = heads.select("band", "value", "_head", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    dealt = bands.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    hits = dealt.join(heads, ["band", "value", "_salt"]).where(F.col("_head") != F.col(key))
     return hits.groupBy(key).agg(F.min("_head").alias("copy_of"))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from assayframe.functions import fixed
 
+SALTS = 16  # parts of one content when files meet their first copy
+
 
 def uuid_text(part: Column) -> Column:
     """Canonical form of a UUID written with or without hyphens, braces or prefix; else NULL."""
@@ -39,9 +41,14 @@ def file_digests(files: DataFrame, path: str = "path", content: str = "content")
 
 
 def duplicate_files(digests: DataFrame, path: str = "path") -> DataFrame:
-    """Every file whose content repeats that of a file earlier by path."""
+    """Every file whose content repeats that of a file earlier by path.
+
+    The first paths of repeated contents are one row each and go to every one of `SALTS` parts, so the files of one
+    content meet theirs in as many tasks."""
     firsts = digests.groupBy("sha256").agg(F.min(path).alias("first_path"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return digests.join(firsts, "sha256").where(F.col(path) != F.col("first_path")).select(path, "first_path", "sha256")
+    firsts = firsts.select("sha256", "first_path", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    dealt = digests.withColumn("_salt", F.pmod(F.xxhash64(path), F.lit(SALTS)).cast("int"))
+    return dealt.join(firsts, ["sha256", "_salt"]).where(F.col(path) != F.col("first_path")).select(path, "first_path", "sha256")
 
 
 def compression_ratio(sizes: DataFrame, stored: str = "compressed_size_bytes", plain: str = "size_bytes") -> DataFrame:
