@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayframe.operators import quantiles
 from assayframe.session import stored
 
 MAX_SCORES = 1001  # values of a score with one decimal in 0..100
@@ -90,12 +91,15 @@ def service_levels(audit: DataFrame, key: str = "assessment_id") -> DataFrame:
                                   first("assessment_failed").alias("failed"),
                                   F.count_if(F.col("event_type") == "webhook_failed").alias("unsent"))
     took = F.timestamp_diff("SECOND", "submitted", F.coalesce("complete", "failed"))
-    runs = runs.withColumn("lag", took).withColumn("took", F.when(took >= 0, took))
-    return runs.groupBy(F.date_trunc("hour", "submitted").alias("hour")).agg(
+    runs = runs.withColumn("lag", took).withColumn("took", F.when(took >= 0, took.cast("double")))
+    runs = stored(runs.withColumn("hour", F.date_trunc("hour", "submitted")), "runs")  # rates and durations read it
+    counted = runs.where("took is not null").groupBy("hour", "took").agg(F.count(F.lit(1)).alias("cnt"))
+    p95 = quantiles.grouped_quantiles(counted, ["hour"], "took", "cnt", {"p95_seconds": 0.95})
+    whole = runs.groupBy("hour").agg(
         F.count(F.lit(1)).alias("runs"), F.count("failed").alias("failed"), F.round(F.count("failed") / F.count(F.lit(1)), 6).alias("failure_rate"),
         F.sum("unsent").alias("webhook_failures"), F.count_if(F.col("submitted").isNull()).alias("unsubmitted"),
-        F.count_if(F.col("lag") < 0).alias("reversed"), F.max("took").alias("longest_seconds"),
-        F.percentile_approx("took", 0.95, 10000).alias("p95_seconds"))
+        F.count_if(F.col("lag") < 0).alias("reversed"), F.max("took").cast("bigint").alias("longest_seconds"))
+    return whole.join(p95.withColumn("p95_seconds", F.round("p95_seconds", 4)), "hour", "left")
 
 
 # ---- lifecycle -------------------------------------------------------------------------

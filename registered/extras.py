@@ -120,8 +120,10 @@ QUERIES["description_words"] = lambda s, d: quality.word_threshold(table(s, d, "
 ORACLE["description_words"] = r"""WITH t AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents), w AS (SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE CAST(len(regexp_split_to_array(t, '\s+')) AS INT) END AS words FROM t)
 SELECT doc_id, words, words >= 100 AS enough FROM w"""
 QUERIES["declared_vs_detected"] = lambda s, d: quality.declared_vs_detected(view(s, d, "fx_catalog"))
-ORACLE["declared_vs_detected"] = cte("fx_catalog") + """SELECT dataset_id, 'icd' AS "check", declared, detected, declared <> detected AS mismatch
-FROM (SELECT dataset_id, contains(upper(coalesce(standards_used, '')), 'ICD') AS declared, icd_codes_present AS detected FROM fx_catalog)"""
+_DECLARED = "SELECT dataset_id, '{0}' AS \"check\", contains(upper(coalesce(standards_used, '')), '{1}') AS declared, {0}_codes_present AS detected FROM fx_catalog"
+ORACLE["declared_vs_detected"] = cte("fx_catalog") + "SELECT *, declared <> detected AS mismatch FROM (" + " UNION ALL ".join(
+    [_DECLARED.format(c, c.upper()) for c in ("icd", "snomed", "loinc")]
+    + ["SELECT dataset_id, 'direct_identifiers', coalesce(len(direct_identifiers_present) > 0, false), direct_identifiers_detected FROM fx_catalog"]) + ")"
 
 # ---- near copies -----------------------------------------------------------------------
 
@@ -181,7 +183,7 @@ def q_assess_tables(s, d):
         one = profile.facts_of(profile.profile(df, dataset_id=str(i), file_format=kind, size_bytes=size).dataset)
         facts = one if facts is None else facts.unionAll(one)
     facts = facts.withColumn("table_no", F.col("dataset_id").cast("bigint")).drop("dataset_id")
-    measured = ["overall_completeness_pct", "direct_identifiers_detected", "icd_codes_present", "imbalance_ratio"]  # a form has none of these
+    measured = ["overall_completeness_pct", "direct_identifiers_detected", "icd_codes_present", "snomed_codes_present", "loinc_codes_present", "fhir_structure", "imbalance_ratio"]  # a form has none of these
     forms = view(s, d, "fx_catalog").drop(*measured).withColumn("table_no", F.col("dataset_id") % len(_TABLES))
     done = plan.assess(plan.combine(forms, facts, "table_no"), texts=False)
     return done.select("dataset_id", "file_format", "size_bytes", "overall_completeness_pct", "imbalance_ratio", "cqi", "cqi_band", "prs", "prs_band", "release_class")
@@ -195,7 +197,7 @@ facts(t, kind, size, pct, ids, ratio) AS (
     (SELECT {pct_sql('max(n)', 'min(n) * 100')} FROM (SELECT count(*) AS n FROM fx_patients GROUP BY treatment_outcome))
   UNION ALL SELECT 1, 'csv', 20000000, 100.0, false, NULL UNION ALL SELECT 2, 'json', 500, 100.0, false, NULL UNION ALL SELECT 3, 'xlsx', 30000000, 100.0, false, NULL),
 fx_catalog AS (SELECT forms.* REPLACE (kind AS file_format, CAST(size AS BIGINT) AS size_bytes, pct AS overall_completeness_pct, ids AS direct_identifiers_detected,
-  false AS icd_codes_present, ratio AS imbalance_ratio) FROM forms JOIN facts ON dataset_id % 4 = t)""" + scoring.assessed_ctes() + """
+  false AS icd_codes_present, false AS snomed_codes_present, false AS loinc_codes_present, false AS fhir_structure, ratio AS imbalance_ratio) FROM forms JOIN facts ON dataset_id % 4 = t)""" + scoring.assessed_ctes() + """
 SELECT dataset_id, file_format, size_bytes, overall_completeness_pct, imbalance_ratio, cqi, cqi_band, prs, prs_band, release_class FROM assessed"""
 
 # ---- event log -------------------------------------------------------------------------
@@ -205,12 +207,12 @@ QUERIES["lifecycle_latest"] = lambda s, d: catalog.lifecycle(view(s, d, "fx_audi
 ORACLE["lifecycle_latest"] = cte("fx_audit") + f""", a AS (SELECT assessment_id, last(event_type ORDER BY event_timestamp, log_id) AS last_event, max(event_timestamp) AS last_at, count(*) AS events,
   {_FIRST.format('submitted')} AS submitted_at, {_FIRST.format('started')} AS started_at, least({_FIRST.format('complete')}, {_FIRST.format('failed')}) AS ended_at FROM fx_audit GROUP BY assessment_id)
 SELECT *, CAST(trunc((epoch_us(started_at) - epoch_us(submitted_at)) / 1000000.0) AS BIGINT) AS queue_seconds, CAST(trunc((epoch_us(ended_at) - epoch_us(started_at)) / 1000000.0) AS BIGINT) AS processing_seconds FROM a"""
-QUERIES["slo"] = lambda s, d: catalog.service_levels(view(s, d, "fx_audit")).select("hour", "runs", "failed", "failure_rate", "webhook_failures", "unsubmitted", "reversed", "longest_seconds")
+QUERIES["slo"] = lambda s, d: catalog.service_levels(view(s, d, "fx_audit")).select("hour", "runs", "failed", "failure_rate", "webhook_failures", "unsubmitted", "reversed", "longest_seconds", "p95_seconds")
 ORACLE["slo"] = cte("fx_audit") + f""", r AS (SELECT assessment_id, {_FIRST.format('submitted')} AS submitted, {_FIRST.format('complete')} AS complete, {_FIRST.format('failed')} AS failed,
   count(*) FILTER (event_type = 'webhook_failed') AS unsent FROM fx_audit GROUP BY assessment_id),
 t AS (SELECT *, CAST(trunc((epoch_us(coalesce(complete, failed)) - epoch_us(submitted)) / 1000000.0) AS BIGINT) AS took FROM r)
 SELECT date_trunc('hour', submitted) AS hour, count(*) AS runs, count(failed) AS failed, round(count(failed) / count(*), 6) AS failure_rate, CAST(sum(unsent) AS BIGINT) AS webhook_failures, count(*) FILTER (submitted IS NULL) AS unsubmitted, count(*) FILTER (took < 0) AS reversed,
-  max(took) FILTER (took >= 0) AS longest_seconds FROM t GROUP BY 1"""
+  max(took) FILTER (took >= 0) AS longest_seconds, round(quantile_cont(took, 0.95) FILTER (took >= 0), 4) AS p95_seconds FROM t GROUP BY 1"""
 
 
 # The supplied events are sparse; a thousand times the pace makes bursts.
@@ -269,15 +271,23 @@ def _event_stream(s, d):
 
 
 def q_stream_counters(s, d):
-    counters = ev.quality_counters(_event_stream(s, d), "ts", "value", ["event_type"], 1.0, 400.0, "1 hour", "400 days")
-    out = scratch_path(s, "counters")
-    ev.run_available(counters, out, out + "-checkpoint", "update")
+    """Events arrive in four loads by day; every 97th of the earlier ones comes with the last load, most of them too late."""
+    schema = table(s, d, "events").schema
+    source, out = scratch_path(s, "arrivals"), scratch_path(s, "counters")
+    days = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
+    arrivals = table(s, d, "events").withColumn("load", F.when(F.col("event_id") % 97 == 0, 3).otherwise(days))
+    for load in range(4):
+        arrivals.where(F.col("load") == load).drop("load").write.mode("append").parquet(source)
+        counters = ev.quality_counters(ev.read_stream(s, source, schema), "ts", "value", ["event_type"], 1.0, 400.0, "1 hour", "10 minutes")
+        ev.run_available(counters, out, out + "-checkpoint", "update")
     return ev.latest(s.read.parquet(out), ["window_start", "event_type"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 _COUNT_SQL = "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS rows, CAST(0 AS BIGINT) AS missing, count(*) FILTER (value < 1 OR value > 400) AS violations FROM events GROUP BY 1, 2"
 QUERIES["stream_profile"] = q_stream_counters
-ORACLE["stream_profile"] = _COUNT_SQL
+ORACLE["stream_profile"] = """WITH a AS (SELECT *, CASE WHEN event_id % 97 = 0 THEN 3 ELSE least((day(ts) - 1) // 8, 3) END AS load FROM events),
+kept AS (SELECT a.* FROM a WHERE coalesce(date_trunc('hour', ts) + INTERVAL 1 HOUR > (SELECT max(b.ts) FROM a b WHERE b.load < a.load) - INTERVAL 10 MINUTE, true))
+""" + _COUNT_SQL.replace("FROM events", "FROM kept")
 QUERIES["batch_counters"] = lambda s, d: ev.quality_counters(table(s, d, "events"), "ts", "value", ["event_type"], 1.0, 400.0).withColumn(
     "window_start", F.col("window_start").cast("timestamp_ntz"))
 ORACLE["batch_counters"] = _COUNT_SQL

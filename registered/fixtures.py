@@ -67,7 +67,8 @@ SELECT o_orderkey AS dataset_id,
   CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE CAST(o_orderkey % 4 AS INT) END AS num_annotators,
   CASE WHEN o_orderkey % 5 = 2 THEN NULL ELSE CAST(o_orderkey % 101 AS DOUBLE) / 100 END AS irr_value,
   CASE WHEN o_orderkey % 2 = 0 THEN 'clinician' ELSE NULL END AS annotator_qualifications,
-  CASE o_orderkey % 4 WHEN 0 THEN 'ICD-10' WHEN 1 THEN 'none' WHEN 2 THEN 'Custom / Internal coding system' ELSE NULL END AS standards_used,
+  CASE o_orderkey % 4 WHEN 0 THEN 'ICD-10' WHEN 1 THEN 'none' WHEN 2 THEN 'Custom / Internal coding system'
+       WHEN 3 THEN CASE WHEN o_orderkey % 8 = 3 THEN 'SNOMED CT, LOINC' END ELSE NULL END AS standards_used,
   CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE 'IEC/2024/001' END AS ethics_approval_ref,
   CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE 'individual' END AS consent_type,
   CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE 'HIPAA Safe Harbor' END AS deidentification_method,
@@ -96,7 +97,15 @@ SELECT o_orderkey AS dataset_id,
   (o_orderkey * 1009) % 30000000 AS size_bytes,
   CAST((o_orderkey * 31) % 1001 AS DOUBLE) / 10 AS overall_completeness_pct,
   (o_orderkey % 4 = 0) AS direct_identifiers_detected, (o_orderkey % 5 = 1) AS icd_codes_present,
-  CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE CAST(10 + o_orderkey % 60 AS DOUBLE) / 10 END AS imbalance_ratio
+  CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE CAST(10 + o_orderkey % 60 AS DOUBLE) / 10 END AS imbalance_ratio,
+  (o_orderkey % 11 = 2) AS snomed_codes_present, (o_orderkey % 13 = 3) AS loinc_codes_present, (o_orderkey % 17 = 4) AS fhir_structure,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 18 AS INT) END AS age_range_min,
+  CASE WHEN o_orderkey % 4 < 2 THEN NULL ELSE CAST(60 + o_orderkey % 40 AS INT) END AS age_range_max,
+  CASE o_orderkey % 4 WHEN 0 THEN 'cohen_kappa' WHEN 1 THEN 'fleiss_kappa' WHEN 2 THEN '' ELSE NULL END AS irr_method,
+  CASE WHEN o_orderkey % 3 = 1 THEN NULL WHEN o_orderkey % 3 = 2 THEN split('range', ',') ELSE split('range,duplicates,units', ',') END AS dq_checks_applied,
+  CASE WHEN o_orderkey % 5 < 3 THEN NULL WHEN o_orderkey % 5 = 3 THEN split('name', ',') ELSE split('name,phone', ',') END AS direct_identifiers_present,
+  CASE WHEN o_orderkey % 6 < 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS collection_end_date,
+  CASE o_orderkey % 5 WHEN 0 THEN 'daily' WHEN 1 THEN ' monthly ' WHEN 2 THEN '' ELSE NULL END AS temporal_granularity
 FROM orders
 """
 

@@ -42,6 +42,7 @@ _PUBLIC = _has_word(_ACCESS, ["public", "open"])
 _ROLE = _has_word(_ACCESS, ["role", "rbac", "vpn", "secure", "identity", "authenticated", "institutional"])
 _APPROVAL = _has_word(_ACCESS, ["request", "approval", "managed", "permission", "application", "committee"])
 _STD = f"coalesce(lower({_clean('standards_used')}) NOT IN ('none', 'no standard applied', 'custom / internal coding system'), false)"
+_CODES = "(icd_codes_present OR snomed_codes_present OR loinc_codes_present OR fhir_structure)"
 _SITES = "coalesce(nullif(num_sites, 0), 1)"
 _KEY_FIELDS = ["dataset_name", "dataset_version", "dataset_type", "study_type", "target_population",
                "geographic_coverage", "collection_start_date", "deidentification_method", "standards_used",
@@ -70,7 +71,7 @@ SCORES = {
         WHEN geographic_coverage IN ('district', 'taluk', 'village') OR {_SITES} > 1 THEN 2 ELSE 1 END""",
     5: f"""CASE WHEN overall_completeness_pct < {{completeness_floor}} THEN 1
         WHEN overall_completeness_pct < {{completeness_pct}} - 15 THEN 1
-        WHEN overall_completeness_pct < {{completeness_pct}} THEN 2 WHEN icd_codes_present OR {_STD} THEN 4 ELSE 3 END""",
+        WHEN overall_completeness_pct < {{completeness_pct}} THEN 2 WHEN {_CODES} OR {_STD} THEN 4 ELSE 3 END""",
     6: """CASE WHEN file_format NOT IN ('csv', 'parquet', 'json', 'xlsx') THEN 1 WHEN NOT data_dictionary_uploaded THEN 2
         WHEN NOT provenance_pipeline_available THEN 3 WHEN imbalance_ratio > {imbalance_ratio_ok} THEN 3 ELSE 4 END""",
     7: """CASE WHEN direct_identifiers_detected THEN 1 WHEN deidentification_method IS NULL THEN 1
@@ -114,7 +115,7 @@ _S = "'Score ' || score || ': "
 TEXTS = {
     1: (f"CASE WHEN NOT {_MET} THEN 'Annotation methodology not documented.' ELSE {_S}Annotation documented, IRR is ' || CASE WHEN irr_value IS NULL OR irr_value = 0 THEN 'absent' ELSE irr_value::VARCHAR END || '.' END",
         [_case((_MET, "'Annotation methodology documented.'")),
-         _case((f"{_MET} AND irr_value IS NOT NULL", "'IRR value reported: ' || irr_value || ' using method unknown'")),
+         _case((f"{_MET} AND irr_value IS NOT NULL", "'IRR value reported: ' || irr_value || ' using method ' || coalesce(nullif(irr_method, ''), 'unknown')")),
          _case((f"{_MET} AND irr_value >= 0.6 AND irr_value < 0.8", "'IRR value is adequate (>=0.6).'")),
          _case((f"{_MET} AND irr_value >= 0.8", "'IRR value is exemplary (>=0.8).'")),
          _case((f"{_MET} AND num_annotators >= 2", "'Multi-annotator team: ' || num_annotators || ' annotators.'")),
@@ -139,20 +140,23 @@ TEXTS = {
     4: (f"CASE WHEN {_NULLS} THEN 'Geographic coverage not declared. Minimum representativeness score.' ELSE {_S}Geographic coverage is ' || geographic_coverage || ' with ' || {_SITES} || ' sites.' END",
         [_case((f"NOT {_NULLS}", "'Geographic coverage declared: ' || geographic_coverage")),
          _case((f"NOT {_NULLS} AND {_SITES} > 1", f"'Multi-site study: ' || {_SITES} || ' sites.'")),
-         _case((f"NOT {_NULLS} AND sex_distribution IS NOT NULL", "'Sex distribution reported: ' || sex_distribution"))],
+         _case((f"NOT {_NULLS} AND sex_distribution IS NOT NULL", "'Sex distribution reported: ' || sex_distribution")),
+         _case((f"NOT {_NULLS} AND (age_range_min IS NOT NULL OR age_range_max IS NOT NULL)",
+                "'Age demographic boundaries documented: ' || coalesce(age_range_min::VARCHAR, '0') || ' - ' || coalesce(age_range_max::VARCHAR, 'N/A') || ' years.'"))],
         [_case((_NULLS, "'Geographic coverage not declared.'")),
          _case((f"NOT {_NULLS} AND {_SITES} <= 1", "'Single site study or sites count not provided.'")),
          _case((f"NOT {_NULLS} AND sex_distribution IS NULL", "'Sex distribution not reported.'"))]),
     5: (f"{_S}Cell completeness is ' || overall_completeness_pct || '%.'",
         ["'Overall cell completeness: ' || overall_completeness_pct || '%'",
-         _case((f"{_GOOD5} AND icd_codes_present", "'Ontology standards (ICD/SNOMED/LOINC/FHIR) detected in data columns.'")),
+         _case((f"{_GOOD5} AND {_CODES}", "'Ontology standards (ICD/SNOMED/LOINC/FHIR) detected in data columns.'")),
          _case((f"{_GOOD5} AND {_STD}", "'Standard health coding framework declared in metadata: ' || standards_used"))],
         [_case(("overall_completeness_pct < 50", "'Extremely low data completeness (<50.0%).'"),
                ("overall_completeness_pct < 75", "'Low data completeness (<75.0%).'"),
                ("overall_completeness_pct < 90", "'Moderate data completeness (<90.0%).'"),
-               (f"NOT (icd_codes_present OR {_STD})", "'No medical coding standards detected in data or declared in metadata.'"))]),
+               (f"NOT ({_CODES} OR {_STD})", "'No medical coding standards detected in data or declared in metadata.'"))]),
     6: (f"{_S}Format is ' || file_format || ' with dictionary=' || {_flag('data_dictionary_uploaded')} || '.'",
         ["'File format is ' || file_format || '.'",
+         _case(("len(dq_checks_applied) > 0", "'Automated data quality checks documented: ' || array_to_string(dq_checks_applied, ', ') || '.'")),
          _case((f"{_FULL6} AND NOT coalesce(imbalance_ratio > 3, false)", "'Data dictionary and pipeline script present. Class balance within target (3.0).'"))],
         [_case(("file_format NOT IN ('csv', 'parquet', 'json', 'xlsx')", "'Proprietary or unoptimized file format.'"),
                ("NOT data_dictionary_uploaded", "'Data dictionary not uploaded.'"),
@@ -160,6 +164,8 @@ TEXTS = {
                ("imbalance_ratio > 3", "'Severe class imbalance detected (' || imbalance_ratio || ' > 3.0).'"))]),
     7: (f"CASE WHEN direct_identifiers_detected THEN 'Direct PII identifiers found in dataset.' ELSE {_S}Direct identifiers absent. De-identification is ' || coalesce(deidentification_method, 'absent') || '.' END",
         [_case(("NOT direct_identifiers_detected", "'No direct identifiers found in dataset.'")),
+         _case(("NOT direct_identifiers_detected AND len(direct_identifiers_present) > 0",
+                "'Declared direct identifiers in metadata: ' || array_to_string(direct_identifiers_present, ', ') || '.'")),
          _case(("direct_identifiers_detected OR deidentification_method IS NULL", "NULL"),
                ("differential_privacy_applied", "'Differential Privacy applied.'"),
                ("k_anonymity_value >= 10", "'k-anonymity verified with k=' || k_anonymity_value || ' (>= 10).'"),
@@ -176,7 +182,9 @@ TEXTS = {
                other="'Access control documented: ' || access_control_method")],
         [_case((f"{_clean('access_control_method')} IS NULL", "'No access control method documented.'"))]),
     9: (f"{_S}Pipeline=' || {_flag('provenance_pipeline_available')} || ', Changelog=' || {_flag('changelog_provided')} || '.'",
-        [_case(("collection_start_date IS NOT NULL", "'Temporal data collection span documented (' || collection_start_date || ' to N/A).'")),
+        [_case(("collection_start_date IS NOT NULL OR collection_end_date IS NOT NULL",
+                "'Temporal data collection span documented (' || coalesce(collection_start_date::VARCHAR, 'N/A') || ' to ' || coalesce(collection_end_date::VARCHAR, 'N/A') || ').'")),
+         _case((f"{_clean('temporal_granularity')} IS NOT NULL", f"'Temporal resolution documented: ' || {_clean('temporal_granularity')} || '.'")),
          _case(("score = 1", "NULL"), ("score = 2", "'Version format defined: ' || version_format"),
                ("score = 3", "'Preprocessing data lineage pipeline documented.'"),
                other="'Workflow pipeline, version history, and changelog fully available.'")],
