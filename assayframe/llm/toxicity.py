@@ -1,7 +1,8 @@
 """Toxicity scores: gradient-boosted trees over dense text features, calibrated by isotonic regression.
 
 The lexicon is counted over two thirds of the labelled training rows, all of them: a word enters when it stands after many different words in toxic
-texts and hardly in clean ones (contexts, not copies, so that a text copied a thousand times adds nothing). Only the
+texts and hardly in clean ones (contexts, not copies, so that a text copied a thousand times adds nothing). Word beginnings
+are learned the same way, by a share in toxic texts several times that in clean ones: inflected forms never seen count by them. Only the
 classifier and the calibration are fitted on a bounded sample, `SAMPLE` labelled rows chosen by a hash of the id."""
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -24,6 +26,8 @@ SAMPLE = 20_000
 LEXICON = 2000
 CONTEXTS = 4
 CANDIDATES = 20_000
+STEMS = (4, 7)  # least and greatest length of word beginnings
+STEM_CONTEXTS, STEM_RATIO, STEM_CANDIDATES = 8, 4, 100_000
 THRESHOLD = 0.3
 # Second-person words of English, German, French and Spanish.
 YOU = frozenset("you your yours yourself u ur du dich dir dein deine deinen euch ihr tu te toi ton ta vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -37,7 +41,7 @@ ODD = re.compile(r"[^\w\s.,;:'\"!?()-]")
 LEET = re.compile(r"(?<=[^\W\d_])[0-9@$!|*#]+(?=[^\W\d_])")
 SPACED = re.compile(r"\b(?:[^\W\d_][ .*_-]){3,}[^\W\d_]\b")
 RUN = re.compile(r"([^\W\d_])\1{2,}|[!?]{2,}")
-NAMES = ["words", "hits", "density", "kinds", "near_you", "you", "capitals", "shouting", "marks", "odd", "hidden", "leet", "spaced", "runs"]
+NAMES = ["words", "hits", "density", "kinds", "near_you", "you", "capitals", "shouting", "marks", "odd", "hidden", "leet", "spaced", "runs", "stems", "stem_density"]
 
 
 def words_of(text: str) -> list[str]:
@@ -45,18 +49,25 @@ def words_of(text: str) -> list[str]:
     return [w for w in (EDGE.sub("", x) for x in text.lower().split()) if w]
 
 
+def stems_of(word: str) -> list[str]:
+    """Beginnings of a word, shorter than the word itself or equal to it."""
+    return [word[:n] for n in range(STEMS[0], min(STEMS[1], len(word)) + 1)]
+
+
 def unhidden(word: str) -> str:
     """The word with usual digit and symbol stand-ins undone and other marks dropped."""
     return re.sub(r"[\W_]", "", word.translate(PLAIN))
 
 
-def features(text: str | None, lexicon: frozenset[str]) -> list[float]:
+def features(text: str | None, lexicon: frozenset[str], stems: frozenset[str] = frozenset()) -> list[float]:
     """Dense features of one text; null is the empty text."""
     text = text or ""
     raw = text.lower().split()
     n = max(1, len(raw))
     hits, hidden, kinds, you = [], 0, set(), []
+    begun = 0
     seen: dict[str, int] = {}
+    stemmed: dict[str, bool] = {}
     for i, x in enumerate(raw):
         kind = seen.get(x)
         if kind is None:
@@ -65,6 +76,8 @@ def features(text: str | None, lexicon: frozenset[str]) -> list[float]:
             if not kind and not w.isalpha() and unhidden(w) in lexicon:
                 kind = 2
             seen[x] = kind
+            stemmed[x] = bool(stems) and any(b in stems for b in stems_of(w))
+        begun += stemmed[x]
         if kind:
             if kind == 3:
                 you.append(i)
@@ -84,7 +97,8 @@ def features(text: str | None, lexicon: frozenset[str]) -> list[float]:
     shout = sum(len(x) > 2 for x in re.findall(r"\b[A-ZÀ-ÖØ-Þ]+\b", text))
     return [float(np.log1p(len(raw))), float(len(hits) + hidden), (len(hits) + hidden) / n, float(len(kinds)), near / n, len(you) / n,
             upper / chars, shout / n, len(MARKS.findall(text)) / chars, len(ODD.findall(text)) / chars, float(hidden),
-            len(LEET.findall(text)) / n, len(spaced) / n, len(RUN.findall(text)) / n]
+            len(LEET.findall(text)) / n, len(spaced) / n, len(RUN.findall(text)) / n,
+            float(begun), begun / n]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -95,48 +109,84 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where(crc_mod(F.col("doc_id"), 4) != 2).join(marks.hint("shuffle_merge"), "doc_id")
 
 
-def learn_lexicon(rows: DataFrame, size: int = LEXICON, candidates: int = CANDIDATES) -> list[str]:
-    """At most `size` words that stand in many contexts of toxic texts and in few clean texts. Contexts (the word
-    before a word's first place in a text) are counted over all toxic training rows, `CONTEXTS` at least; the `candidates` words with most contexts are then counted over all clean ones."""
+def _contexts(parts):
+    """Maps texts to rows (w, p): what `parts(word)` gives for the words of a text, once each, and a hash of what stands around their first place."""
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[str, str], int] = {}
+            found: set[tuple[str, int]] = set()
             for text in batch.column(0).to_pylist():
-                words = words_of(text or "")
-                for pair in dict(zip(reversed(words), reversed(list(zip(words, ["", *words]))))).values():
-                    found[pair] = found.get(pair, 0) + 1  # a word counts once a text, with what stands before its first place
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([p for _, p in found], pa.string())], ["w", "p"])
+                first: dict[str, int] = {}
+                before = ""
+                for w in words_of(text or ""):
+                    for key, context in parts(w, before):
+                        if key not in first:
+                            first[key] = xxhash.xxh64_intdigest(context.encode("utf-8", "surrogatepass")) >> 1
+                    before = w
+                found.update(first.items())
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([p for _, p in found], pa.int64())], ["w", "p"])
+
+    return run
 
-    pairs = rows.where("toxic > 0").select("text").mapInArrow(contexts, "w string, p string").groupBy("w", F.xxhash64("p")).agg(F.lit(1))
-    seen = pairs.groupBy("w").agg(F.count("*").alias("t")).where(F.col("t") >= CONTEXTS).orderBy(F.desc("t"), "w").limit(candidates).collect()
-    bad = {r["w"]: r["t"] for r in seen}
-    wanted = frozenset(bad)
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts_with(parts, wanted: frozenset[str]):
+    """Maps texts to (w, n): how many texts of the batch hold each wanted word or beginning."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, int] = {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for w in wanted.intersection(words_of(text or "")):
+                for w in wanted.intersection(key for word in set(words_of(text or "")) for key, _ in parts(word, "")):
                     total[w] = total.get(w, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["w", "n"])
 
-    counted = rows.where("toxic <= 0").select("text").mapInArrow(clean, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    return run
+
+
+def _as_word(word: str, before: str):
+    return [(word, before)]
+
+
+def _as_stems(word: str, before: str):
+    return [(b, before + " " + word) for b in stems_of(word)]
+
+
+def _counts(rows: DataFrame, parts, least: int, candidates: int) -> list[tuple[str, int, int]]:
+    """(w, contexts in toxic texts, clean texts): the `candidates` entries with most contexts, `least` at least, counted over all rows."""
+    pairs = rows.where("toxic > 0").select("text").mapInArrow(_contexts(parts), "w string, p long").groupBy("w", "p").agg(F.lit(1))
+    seen = pairs.groupBy("w").agg(F.count("*").alias("t")).where(F.col("t") >= least).orderBy(F.desc("t"), "w").limit(candidates).collect()
+    bad = {r["w"]: r["t"] for r in seen}
+    counted = rows.where("toxic <= 0").select("text").mapInArrow(_texts_with(parts, frozenset(bad)), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
     often = {r["w"]: r["n"] for r in counted}
-    return [w for _, w in sorted((-t / (often.get(w, 0) + 1), w) for w, t in bad.items() if t > 8 * often.get(w, 0))[:size]]
+    return [(w, t, often.get(w, 0)) for w, t in bad.items()]
+
+
+def learn_lexicon(rows: DataFrame, size: int = LEXICON, candidates: int = CANDIDATES) -> list[str]:
+    """At most `size` words that stand in many contexts of toxic texts (after `CONTEXTS` different words at least, each text
+    counting a word's first place) and in few clean texts."""
+    return [w for _, w in sorted((-t / (n + 1), w) for w, t, n in _counts(rows, _as_word, CONTEXTS, candidates) if t > 8 * n)[:size]]
+
+
+def learn_stems(rows: DataFrame, toxic: int, clean: int, size: int = LEXICON, candidates: int = STEM_CANDIDATES) -> list[str]:
+    """At most `size` word beginnings whose share of contexts per toxic text is over `STEM_RATIO` times their share of clean
+    texts; `toxic` and `clean` are the numbers of rows of each class."""
+    if not toxic or not clean:
+        return []
+    found = [(t / toxic / ((n + 1) / clean), w) for w, t, n in _counts(rows, _as_stems, STEM_CONTEXTS, candidates)]
+    return [w for _, w in sorted((-r, w) for r, w in found if r > STEM_RATIO)[:size]]
 
 
 class Model:
-    """Lexicon, boosted trees and calibration; all of bounded size."""
+    """Lexicon, word beginnings, boosted trees and calibration; all of bounded size."""
 
-    def __init__(self, lexicon: frozenset[str], trees, isotonic):
-        self.lexicon, self.trees, self.isotonic = lexicon, trees, isotonic
+    def __init__(self, lexicon: frozenset[str], stems: frozenset[str], trees, isotonic):
+        self.lexicon, self.stems, self.trees, self.isotonic = lexicon, stems, trees, isotonic
 
     def score(self, df: DataFrame, text: str = "text", into: str = "score") -> DataFrame:
         """`df` with the calibrated probability that a text is toxic, 0 to 1; null and empty texts get one too."""
         if self.trees is None:
             return df.withColumn(into, F.lit(0.0))
-        mine = small_batches(df).withColumn("_features", array_to_vector(feature_column(F.col(text), self.lexicon)))
+        mine = small_batches(df).withColumn("_features", array_to_vector(feature_column(F.col(text), self.lexicon, self.stems)))
         out = self.trees.transform(mine).withColumn("_p", vector_to_array("_prob")[1])
         x, y = (list(map(float, v.toArray())) for v in (self.isotonic.boundaries, self.isotonic.predictions))
         return out.withColumn(into, _steps(F.col("_p"), x, y)).drop("_features", "_raw", "_prob", "_predicted", "_p")
@@ -152,11 +202,11 @@ def _steps(p, x: list[float], y: list[float]):
     return F.least(F.greatest(between, F.lit(0.0)), F.lit(1.0))
 
 
-def feature_column(text, lexicon: frozenset[str]):
+def feature_column(text, lexicon: frozenset[str], stems: frozenset[str]):
     @F.pandas_udf("array<double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            yield pd.Series([features(t, lexicon) for t in texts], dtype=object)
+            yield pd.Series([features(t, lexicon, stems) for t in texts], dtype=object)
 
     return run(text)
 
@@ -169,24 +219,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # trees must see words the lexicon took by chance, so they learn from texts it was not counted on
     fold = F.pmod(F.xxhash64("doc_id", F.lit("lexicon")), F.lit(3)) == 0
     lexicon = frozenset(learn_lexicon(rows.where(~fold))) | SEED_WORDS
+    stems = frozenset(learn_stems(rows.where(~fold), have.get(1, 0), have.get(0, 0)))
     if not have.get(0) or not have.get(1):
-        return Model(lexicon, None, None)
+        return Model(lexicon, stems, None, None)
     share = min(1.0, 3 * sample / sum(have.values()))
     pick = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
     few = rows.where(fold & (pick < int(share * 1_000_000))).select(
-        F.col("toxic").cast("double").alias("label"), array_to_vector(feature_column(F.col("text"), lexicon)).alias("_features"),
-        (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) == 0).alias("calibrates"))
+        F.col("toxic").cast("double").alias("label"), array_to_vector(feature_column(F.col("text"), lexicon, stems)).alias("_features"),
+        (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)) == 0).alias("calibrates"))
     few = written(few, "toxic-sample").coalesce(4)
     fit, hold = few.where("not calibrates"), few.where("calibrates")
     if fit.select("label").distinct().count() < 2 or hold.select("label").distinct().count() < 2:
         fit = hold = few
     if few.select("label").distinct().count() < 2:
-        return Model(lexicon, None, None)
-    learner = GBTClassifier(labelCol="label", featuresCol="_features", predictionCol="_predicted", maxIter=12, maxDepth=3, stepSize=0.3, seed=7)
+        return Model(lexicon, stems, None, None)
+    learner = GBTClassifier(labelCol="label", featuresCol="_features", predictionCol="_predicted", maxIter=12, maxDepth=3, minInstancesPerNode=10, stepSize=0.3, seed=7)
     trees = learner.setRawPredictionCol("_raw").setProbabilityCol("_prob").fit(fit)
     seen = trees.transform(hold).select("label", vector_to_array("_prob")[1].alias("p"))
     isotonic = IsotonicRegression(labelCol="label", featuresCol="p").fit(seen)
-    return Model(lexicon, trees, isotonic)
+    return Model(lexicon, stems, trees, isotonic)
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
