@@ -76,3 +76,21 @@ def test_vectors(spark, chunk):
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in got) == want
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got if r["vec_id"] is not None)
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_no_group_exceeds_two_chunks(spark, monkeypatch):
+    """A crowded cell: its own rows and its visitors are dealt, and the links stay the same."""
+    meet, chunk = vectors._meet, 40
+    g = np.random.default_rng(6)
+    values = [[float(x) for x in v] for v in g.standard_normal((600, 8)) * 0.3 + np.eye(8)[0]]
+
+    def bounded(key, table, parts, cosine):
+        if table.num_rows > 3 * chunk:  # two chunks, and what a hash scatters
+            raise ValueError(f"{table.num_rows} rows in one group")
+        return meet(key, table, parts, cosine)
+
+    df = spark.createDataFrame(list(enumerate(values)), "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vectors, "_meet", bounded)
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df, chunk=chunk).collect()}
+    u = np.array(values) / np.linalg.norm(values, axis=1, keepdims=True)
+    assert got == dict(enumerate(((u @ u.T >= 0.95).sum(axis=1) - 1).tolist()))
