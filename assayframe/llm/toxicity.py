@@ -1,13 +1,15 @@
 """Toxicity scores: gradient-boosted trees over dense text features, calibrated by isotonic regression.
 
-The lexicon is counted over two thirds of the labelled training rows, all of them: a word enters when it stands after many different words in toxic
-texts and hardly in clean ones (contexts, not copies, so that a text copied a thousand times adds nothing). Word beginnings
-are learned the same way, by a share in toxic texts several times that in clean ones: inflected forms never seen count by them. Only the
-classifier and the calibration are fitted on a bounded sample, `SAMPLE` labelled rows chosen by a hash of the id."""
+The lexicon is counted over two thirds of the labelled training rows, all of them: a word enters when it stands after different words in toxic
+texts (contexts, so that one text copied a thousand times does not make a word) and its share of toxic texts is several times its share of
+clean ones. Word beginnings are learned the same way: inflected forms never seen count by them. Every word and beginning is counted and tested
+in Spark, joined by shuffle; only the final lists are bounded, by strength. The classifier and the calibration are fitted on a bounded sample,
+`SAMPLE` labelled rows chosen by a hash of the id."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +26,10 @@ from assayframe.llm.common import crc_mod, small_batches, written
 
 SAMPLE = 20_000
 LEXICON = 2000
-CONTEXTS = 4
-CANDIDATES = 20_000
+CONTEXTS, RATIO = 4, 8
 STEMS = (4, 7)  # least and greatest length of word beginnings
-STEM_CONTEXTS, STEM_RATIO, STEM_CANDIDATES = 8, 4, 100_000
+STEM_CONTEXTS, STEM_RATIO = 8, 4
+HELD = 200_000  # entries a task sums up before it sends them
 THRESHOLD = 0.3
 # Second-person words of English, German, French and Spanish.
 YOU = frozenset("you your yours yourself u ur du dich dir dein deine deinen euch ihr tu te toi ton ta vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -109,71 +111,68 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where(crc_mod(F.col("doc_id"), 4) != 2).join(marks.hint("shuffle_merge"), "doc_id")
 
 
-def _contexts(parts):
-    """Maps texts to rows (w, p): what `parts(word)` gives for the words of a text, once each, and a hash of what stands around their first place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: set[tuple[str, int]] = set()
-            for text in batch.column(0).to_pylist():
-                first: dict[str, int] = {}
-                before = ""
-                for w in words_of(text or ""):
-                    for key, context in parts(w, before):
-                        if key not in first:
-                            first[key] = xxhash.xxh64_intdigest(context.encode("utf-8", "surrogatepass")) >> 1
-                    before = w
-                found.update(first.items())
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([p for _, p in found], pa.int64())], ["w", "p"])
-
-    return run
-
-
-def _texts_with(parts, wanted: frozenset[str]):
-    """Maps texts to (w, n): how many texts of the batch hold each wanted word or beginning."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, int] = {}
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for w in wanted.intersection(key for word in set(words_of(text or "")) for key, _ in parts(word, "")):
-                    total[w] = total.get(w, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["w", "n"])
-
-    return run
-
-
-def _as_word(word: str, before: str):
-    return [(word, before)]
-
-
-def _as_stems(word: str, before: str):
-    return [(b, before + " " + word) for b in stems_of(word)]
-
-
-def _counts(rows: DataFrame, parts, least: int, candidates: int) -> list[tuple[str, int, int]]:
-    """(w, contexts in toxic texts, clean texts): the `candidates` entries with most contexts, `least` at least, counted over all rows."""
-    pairs = rows.where("toxic > 0").select("text").mapInArrow(_contexts(parts), "w string, p long").groupBy("w", "p").agg(F.lit(1))
-    seen = pairs.groupBy("w").agg(F.count("*").alias("t")).where(F.col("t") >= least).orderBy(F.desc("t"), "w").limit(candidates).collect()
-    bad = {r["w"]: r["t"] for r in seen}
-    counted = rows.where("toxic <= 0").select("text").mapInArrow(_texts_with(parts, frozenset(bad)), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    often = {r["w"]: r["n"] for r in counted}
-    return [(w, t, often.get(w, 0)) for w, t in bad.items()]
-
-
-def learn_lexicon(rows: DataFrame, size: int = LEXICON, candidates: int = CANDIDATES) -> list[str]:
-    """At most `size` words that stand in many contexts of toxic texts (after `CONTEXTS` different words at least, each text
-    counting a word's first place) and in few clean texts."""
-    return [w for _, w in sorted((-t / (n + 1), w) for w, t, n in _counts(rows, _as_word, CONTEXTS, candidates) if t > 8 * n)[:size]]
+def _toxic_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (stem, w, p, n): in n texts the first place of the word or beginning has the context hash p."""
+    total: dict[tuple[bool, str, int], int] = {}
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            first: dict[tuple[bool, str], str] = {}
+            before = ""
+            for w in words_of(text or ""):
+                if (False, w) not in first:
+                    first[False, w] = before
+                    for b in stems_of(w):
+                        first.setdefault((True, b), before + " " + w)
+                before = w
+            for (stem, w), context in first.items():
+                key = (stem, w, xxhash.xxh64_intdigest(context.encode("utf-8", "surrogatepass")) >> 1)
+                total[key] = total.get(key, 0) + 1
+            if len(total) > HELD:
+                yield _entries(total, ["stem", "w", "p"])
+                total = {}
+    yield _entries(total, ["stem", "w", "p"])
+
+
+def _clean_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (stem, w, n): n texts hold the word or beginning."""
+    words, stems = Counter(), Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            mine = set(words_of(text or ""))
+            words.update(mine)
+            stems.update({b for w in mine for b in stems_of(w)})
+            if len(words) + len(stems) > HELD:
+                yield _entries({(False, w): n for w, n in words.items()} | {(True, w): n for w, n in stems.items()}, ["stem", "w"])
+                words, stems = Counter(), Counter()
+    yield _entries({(False, w): n for w, n in words.items()} | {(True, w): n for w, n in stems.items()}, ["stem", "w"])
+
+
+def _entries(total: dict[tuple, int], names: list[str]) -> pa.RecordBatch:
+    kinds = {"stem": pa.bool_(), "w": pa.string(), "p": pa.int64()}
+    keys = list(zip(*total)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(k, kinds[x]) for k, x in zip(keys, names)] + [pa.array(list(total.values()), pa.int64())], [*names, "n"])
+
+
+def learn(rows: DataFrame, toxic: int, clean: int, size: int = LEXICON) -> tuple[list[str], list[str]]:
+    """Words and word beginnings of toxic texts, at most `size` each, strongest first; `toxic` and `clean` are the numbers of texts.
+
+    An entry needs `CONTEXTS` (`STEM_CONTEXTS`) different contexts in toxic texts, and a share of the toxic texts over `RATIO`
+    (`STEM_RATIO`) times its share of the clean texts, one clean text added. All entries of `rows` are tested."""
+    if not toxic or not clean:
+        return [], []
+    bad = rows.where("toxic > 0").select("text").mapInArrow(_toxic_entries, "stem boolean, w string, p long, n long").groupBy("stem", "w", "p").agg(F.sum("n").alias("n"))
+    bad = bad.groupBy("stem", "w").agg(F.count("*").alias("contexts"), F.sum("n").alias("t")).where(F.col("contexts") >= F.when(F.col("stem"), STEM_CONTEXTS).otherwise(CONTEXTS))
+    good = rows.where("toxic <= 0").select("text").mapInArrow(_clean_entries, "stem boolean, w string, n long").groupBy("stem", "w").agg(F.sum("n").alias("n"))
+    ratio = F.col("t") / toxic / ((F.coalesce("n", F.lit(0)) + 1) / clean)
+    found = bad.hint("shuffle_merge").join(good, ["stem", "w"], "left").withColumn("ratio", ratio)
+    found = written(found.where(F.col("ratio") > F.when(F.col("stem"), STEM_RATIO).otherwise(RATIO)).select("stem", "w", "ratio"), "toxic-entries")
+    words, stems = ([r["w"] for r in found.where(F.col("stem") == stem).orderBy(F.desc("ratio"), "w").limit(size).collect()] for stem in (False, True))
+    return words, stems
 
 
-def learn_stems(rows: DataFrame, toxic: int, clean: int, size: int = LEXICON, candidates: int = STEM_CANDIDATES) -> list[str]:
-    """At most `size` word beginnings whose share of contexts per toxic text is over `STEM_RATIO` times their share of clean
-    texts; `toxic` and `clean` are the numbers of rows of each class."""
-    if not toxic or not clean:
-        return []
-    found = [(t / toxic / ((n + 1) / clean), w) for w, t, n in _counts(rows, _as_stems, STEM_CONTEXTS, candidates)]
-    return [w for _, w in sorted((-r, w) for r, w in found if r > STEM_RATIO)[:size]]
+def learn_stems(rows: DataFrame, toxic: int, clean: int, size: int = LEXICON) -> list[str]:
+    """The word beginnings of `learn`."""
+    return learn(rows, toxic, clean, size)[1]
 
 
 class Model:
@@ -218,8 +217,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     have = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     # trees must see words the lexicon took by chance, so they learn from texts it was not counted on
     fold = F.pmod(F.xxhash64("doc_id", F.lit("lexicon")), F.lit(3)) == 0
-    lexicon = frozenset(learn_lexicon(rows.where(~fold))) | SEED_WORDS
-    stems = frozenset(learn_stems(rows.where(~fold), have.get(1, 0), have.get(0, 0)))
+    words, begun = learn(rows.where(~fold), have.get(1, 0), have.get(0, 0))
+    lexicon, stems = frozenset(words) | SEED_WORDS, frozenset(begun)
     if not have.get(0) or not have.get(1):
         return Model(lexicon, stems, None, None)
     share = min(1.0, 3 * sample / sum(have.values()))
