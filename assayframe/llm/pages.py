@@ -3,7 +3,8 @@
 A page becomes a line of text blocks with their place in the tree. A linear classifier over the block's own evidence (tags
 and class names around it, link share, length, sentence marks) gives each block a cost for either label: the terminal
 capacities. Neighbouring blocks, and blocks next to each other under one parent, are joined by smoothness edges, stronger the more of their path they share.
-The cut of least cost, found by maximum flow, parts content from boilerplate."""
+The cut of least cost, found by maximum flow, parts content from boilerplate. A tag or name of boilerplate is a cost that fades
+with every block element below it, by half at an article, wholly at main; names of html, body, main and article are no such mark."""
 
 from __future__ import annotations
 
@@ -24,8 +25,10 @@ RAW = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
 AWAY = frozenset("nav aside footer form menu dialog".split())
+WHOLE = frozenset("html body main article".split())  # whose names say nothing against their text
+AWAY_COST, FADE, IN_ARTICLE = 12.0, 0.8, 0.5
 CLOSES_P = BLOCK - {"br"}
-NAMES_AWAY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar|footer|header|masthead|cookies?|consent|notices?|newsletter|subscribe|popup|modal|share|social|related|recommend\w*|comments?|disqus|replies|reply|login|signup|pager|pagination|copyright|legal|widget|toolbar|skip)(?=$|[\s_-])", re.I)
+NAMES_AWAY = re.compile(r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bno[_-])(?<!\bwith[_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar|footer|header|masthead|cookies?|consent|notices?|newsletter|subscribe|popup|modal|share|social|related|recommend\w*|comments?|disqus|replies|reply|login|signup|pager|pagination|copyright|legal|widget|toolbar|skip)(?=$|[\s_-])", re.I)
 NAMES_KEEP = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?=$|[\s_-])", re.I)
 MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
@@ -41,9 +44,9 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order. Open elements are a stack of (tag, node, away, keep, silent, link)."""
+    """Text blocks in page order. Open elements are a stack of (tag, node, away, keep, silent, link), away being the cost of boilerplate marks on the way."""
     out: list[Block] = []
-    stack = [("", 0, False, False, False, False)]
+    stack = [("", 0, 0.0, False, False, False)]
     node, now, at, size = 0, None, 0, len(page)
 
     def say(raw: str) -> None:
@@ -98,11 +101,17 @@ def blocks(page: str) -> list[Block]:
         marks = names(m[3]) if m[3] else ""
         hidden = "\0hidden" in marks
         inside = any(x[0] in ("article", "main") for x in stack)
-        lost = tag in AWAY or (tag == "header" and not inside) or bool(marks and NAMES_AWAY.search(marks))
+        lost = tag in AWAY or (tag == "header" and not inside) or bool(marks and tag not in WHOLE and NAMES_AWAY.search(marks))
         held = tag in ("article", "main") or bool(marks and not lost and NAMES_KEEP.search(marks))
+        if lost:
+            away = AWAY_COST
+        elif tag == "main":
+            away = 0.0
+        elif tag in BLOCK:
+            away *= FADE * (IN_ARTICLE if tag == "article" else 1.0)
         node += 1
         if not m[3].rstrip().endswith("/") or tag in BLOCK or tag in SILENT:
-            stack.append((tag, node, away or lost, (keep or held) and not lost, silent or tag in SILENT or hidden, link or tag == "a"))
+            stack.append((tag, node, away, (keep or held) and not lost, silent or tag in SILENT or hidden, link or tag == "a"))
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else size
@@ -133,8 +142,7 @@ def evidence(b: Block) -> float:
         score += 0.5
     if b.keep:
         score += 2.5
-    if b.away:
-        score -= 12.0
+    score -= b.away
     if b.text.startswith(("©", "(c) ")):
         score -= 3.0
     return score
@@ -152,13 +160,12 @@ def edges(found: list[Block]) -> list[tuple[int, int, float]]:
             seen[last[parent]] = seen.get(last[parent], 0.0) + 0.4
         last[parent] = i
         for j, base in seen.items():
-            if found[j].away == b.away:
-                common = 0
-                for x, y in zip(found[j].path, b.path):
-                    if x != y:
-                        break
-                    common += 1
-                out.append((j, i, base * common / max(len(b.path), len(found[j].path))))
+            common = 0
+            for x, y in zip(found[j].path, b.path):
+                if x != y:
+                    break
+                common += 1
+            out.append((j, i, base * common / max(len(b.path), len(found[j].path))))
     return out
 
 

@@ -94,3 +94,26 @@ def test_no_group_exceeds_two_chunks(spark, monkeypatch):
     got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df, chunk=chunk).collect()}
     u = np.array(values) / np.linalg.norm(values, axis=1, keepdims=True)
     assert got == dict(enumerate(((u @ u.T >= 0.95).sum(axis=1) - 1).tolist()))
+
+
+PARAGRAPHS = "<h1>Title of it</h1><p>A first paragraph of some length. It has two sentences.</p><p>The second paragraph goes on. And it ends.</p>"
+WORDS = "Title of it A first paragraph of some length. It has two sentences. The second paragraph goes on. And it ends."
+
+
+@pytest.mark.parametrize("page", [
+    f"<body class='has-sidebar'><nav><a href=x>Menu</a></nav><article>{PARAGRAPHS}</article></body>",
+    f"<body class='navbar-fixed'><div>{PARAGRAPHS}</div><footer>Foot</footer></body>",
+    f"<html class='cookies'><body><article class='legal'>{PARAGRAPHS}</article><div class='related'><a href=x>More</a></div></body></html>",
+    f"<main id='menu-page'>{PARAGRAPHS}</main>",
+    f"<form id='f'><div class='page'><main>{PARAGRAPHS}</main></div><div class='footer'>Foot</div></form>",
+    f"<div class='has-sidebar'><div>{PARAGRAPHS}</div></div><div class='sidebar'><p>Other stuff</p></div>",
+    f"<div class='sidebar-layout'><div><article>{PARAGRAPHS}</article></div></div>",
+])
+def test_wrapper_names_keep_the_article(page):
+    assert pages.main_text(page) == WORDS
+
+
+def test_blocks_of_different_evidence_are_joined():
+    found = pages.blocks("<article><p>Text here.</p><div class='share'>Tell it</div><p>End.</p></article>")
+    assert {(0, 1), (1, 2)} <= {(a, b) for a, b, _ in pages.edges(found)}
+    assert [b.away for b in found] == [0.0, pages.AWAY_COST, 0.0]
