@@ -24,6 +24,15 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
 
 
+# Bytes of a term: ASCII letters and digits (A-Z in lower case) and everything beyond ASCII; all others part terms.
+TERM_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+
+
+def terms(text: str | None) -> list[bytes]:
+    """Maximal matches of `[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+` as UTF-8, A-Z in lower case; none for null."""
+    return text.encode("utf-8", "surrogatepass").translate(TERM_BYTES).split() if text else []
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """`df`, its session sending at most `rows` rows to a Python worker at once: texts can be long and memory is not."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
