@@ -28,7 +28,6 @@ from assayframe.llm.common import small_batches, terms, written
 
 LOW, HIGH = 1 / 1000, 1 / 50
 SUBSETS = 24
-FEW = 0.3
 HELD = 300_000  # entries a task sums up before it sends them, and terms it remembers
 PART_BYTES = 32 << 20
 ONE, EDGE_HEAD, EDGE_TAIL = 0, 1, 2
@@ -75,15 +74,14 @@ class Fingerprints:
         self.kept: dict[bytes, int] = {}
 
     def of(self, text: str | None) -> np.ndarray:
-        """One 32-bit hash for each lexicon. A text with less than `FEW` of its distinct terms in the band is hashed over all of them, one
-        without terms as it stands."""
+        """One 32-bit hash for each lexicon. A text without band terms is hashed over all its terms, one without terms as it stands."""
         kept, found = self.kept, set(terms(text))
         if len(kept) > HELD:
             kept.clear()
         for w in found.difference(kept):
             kept[w] = self.place.get(code(w), -1)
         at = np.array(sorted(i for i in map(kept.__getitem__, found) if i >= 0), np.int64)
-        if len(at) and len(at) >= FEW * len(found):
+        if len(at):
             codes, level = self.codes[at], self.levels[at]
         elif found:
             codes = np.array(sorted(map(code, found)), np.int64)
