@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from assayframe.llm.common import small_batches, terms, written
 
 LOW, HIGH = 1 / 1000, 1 / 50
-SUBSETS = 24
-HELD = 300_000  # entries a task sums up before it sends them, and terms it remembers
+SUBSETS = 16
+HELD = 600_000  # entries a task sums up before it sends them, and terms it remembers
 PART_BYTES = 32 << 20
 ONE, EDGE_HEAD, EDGE_TAIL = 0, 1, 2
 
@@ -118,7 +118,7 @@ def edited(text: str, after: str) -> str:
 def _row(prints: Fingerprints, doc_id, text: str, own: np.ndarray, after: str, next_own: np.ndarray) -> tuple:
     other = edited(text, after)
     changed = prints.of(other)
-    return (doc_id, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), own.tobytes(), changed.tobytes(),
+    return (doc_id, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).digest(), own.tobytes(), changed.tobytes(),
             likeness(own, changed), likeness(own, next_own))
 
 
@@ -133,14 +133,14 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, subsets:
     codes = [r["code"] for r in lexicon(base, low, high).select("code").collect()]
     shared = spark.sparkContext.broadcast(codes)
     kind = dict(base.dtypes)["doc_id"]
-    found_kind = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+    found_kind = f"doc_id {kind}, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
     # the row's number parts equal rows, so that no key is larger than a partition
     keyed = base.select("doc_id", F.xxhash64("text").alias("t"), F.monotonically_increasing_id().alias("i"), "text")
     line = keyed.repartitionByRange(parts, "doc_id", "t", "i").sortWithinPartitions("doc_id", "t", "i").select("doc_id", "text")
     id_type = line.limit(0).toArrow().schema.field("doc_id").type
-    types = [pa.int32(), pa.int64(), id_type, pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.string()]
+    types = [pa.int32(), pa.int64(), id_type, pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.string()]
     names = ["kind", "part", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text"]
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, subsets:
     ring = order.select(F.col("part").alias("mine"), F.lead("part").over(Window.orderBy("part")).alias("next"))
     ring = ring.crossJoin(F.broadcast(order.agg(F.min("part").alias("first")))).select("mine", F.coalesce("next", "first").alias("part"))
 
-    @F.pandas_udf("n_chars long, edited_sha256 string, edited_fingerprint binary, near_edited double, near_next double")
+    @F.pandas_udf("n_chars long, edited_sha256 binary, edited_fingerprint binary, near_edited double, near_next double")
     def close(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         prints = Fingerprints(shared.value, subsets)
         for texts, own, after, next_own in columns:
@@ -187,4 +187,4 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, subsets:
     outer = tails.join(ring, "mine").join(heads, "part").select("doc_id", "fingerprint", close("text", "fingerprint", "after", "next_print").alias("x"))
     outer = outer.select("doc_id", "x.n_chars", "x.edited_sha256", "fingerprint", "x.edited_fingerprint", "x.near_edited", "x.near_next")
     both = inner.unionByName(outer)
-    return both.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+    return both.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
