@@ -33,14 +33,30 @@ def terms(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(TERM_BYTES).split() if text else []
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """`df`, its session sending at most `rows` rows to a Python worker at once: texts can be long and memory is not."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, str(rows))
+def small_batches(df: DataFrame, rows: int = 1000, size: int = 16 << 20) -> DataFrame:
+    """`df`, its session sending at most `rows` rows and about `size` bytes (one row at least) to a Python worker at once: texts can be long and memory is not.
+
+    Both are settings of the session that plans the job, so they hold for it from here on; smaller ones are kept."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = _bytes(conf.get(name))
+        if not 0 < now <= most:
+            conf.set(name, str(most))
     return df
 
 
+def _bytes(setting: str) -> int:
+    """Value of a setting such as 10000, 64m or 16777216b."""
+    number = setting.lower().rstrip("b")
+    scale = {"k": 10, "m": 20, "g": 30, "t": 40}.get(number[-1:], 0)
+    return int(number.rstrip("kmgt")) << scale
+
+
+def packed(df: DataFrame, **also) -> DataFrame:
+    """Each row as one struct `row` beside the columns `also`, so that no column of a user can clash with a helper's; `row.*` gives it back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in also.items()])
+
+
 def crc_mod(col, m: int):
     """crc32 of the id as text, modulo m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % m

@@ -9,12 +9,10 @@ agree word by word. Built-in functions only: no Python runs on the data."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import written
+from assayframe.llm.common import packed, written
 
 SHINGLE, SHARE = 5, 0.8
 BROADCAST_ROWS = 500_000
@@ -87,13 +85,10 @@ def contained(docs: DataFrame, items: DataFrame, share: float = SHARE, size: int
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
-    """The rows of `docs` that contain no test item, all columns as they were."""
-    bad = contained(docs, items, share).select(F.col("doc_id").alias("_c_id"), F.col("text_hash").alias("_c_hash")).distinct()
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_c_id")) & (F.col("_hash") == F.col("_c_hash"))
-    return marked.join(bad, same, "left_anti").select(docs.columns)
-
+    """The rows of `docs` that contain no test item, all columns as they were, whatever their names.
 
-def ceil_share(n: int, share: float = SHARE) -> int:
-    """Least number of shingles that makes an item count as contained."""
-    return math.ceil(n * share)
+    Null and wordless texts stay; repeated rows stay or go together; without items all rows stay; an empty table gives no rows."""
+    bad = contained(docs, items, share).select("doc_id", "text_hash").distinct().alias("b")
+    marked = packed(docs, id=F.col("doc_id"), hash=F.xxhash64("text")).alias("d")
+    same = F.col("d.id").eqNullSafe(F.col("b.doc_id")) & (F.col("d.hash") == F.col("b.text_hash"))
+    return marked.join(bad, same, "left_anti").select("row.*")

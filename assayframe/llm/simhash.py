@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import Sets, components, lower_words, small_batches, written
+from assayframe.llm.common import Sets, components, lower_words, packed, small_batches, written
 
 SEED = 42
 SHARD = 4096
@@ -156,8 +156,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """One row of each near-copy group, with all columns of `docs`: the least doc_id (nulls last), then the least text
-    hash; of fully repeated (doc_id, text) rows one stays."""
+    """One row of each near-copy group, with all columns of `docs`, whatever their names: the least doc_id (nulls last), then the least text
+    hash; of fully repeated (doc_id, text) rows one stays. Null and empty texts are one group; an empty table gives no rows."""
     groups = written(near_groups(docs, shingle, radius), "simhash-rows")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
     heads = written(groups.withColumn("g", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")))
@@ -167,17 +167,19 @@ def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.text_hash").eqNullSafe(F.col("b.text_hash"))
     acts = written(a.join(b, same, "left").select("a.doc_id", "a.text_hash", "n", F.col("b.text_hash").isNull().alias("drop"))
                    .where("drop or n > 1"), "simhash-acts")
-    d = docs.withColumn("_hash", F.xxhash64("text")).alias("d")
+    d = packed(docs, id=F.col("doc_id"), hash=F.xxhash64("text")).alias("d")
     c = acts.alias("c")
-    hit = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d._hash").eqNullSafe(F.col("c.text_hash"))
-    all_rows = d.join(c, hit, "left").select("d.*", F.col("c.n").alias("_n"), F.col("c.drop").alias("_drop"))
-    once = all_rows.where("_n is null").select(docs.columns)
-    again = (all_rows.where("_n > 1 and not _drop")
-             .withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("_hash")))
-             .where("_k = 1").select(docs.columns))
+    hit = F.col("d.id").eqNullSafe(F.col("c.doc_id")) & F.col("d.hash").eqNullSafe(F.col("c.text_hash"))
+    all_rows = d.join(c, hit, "left").select("row", "id", "hash", "n", "drop")
+    once = all_rows.where("n is null").select("row.*")
+    again = (all_rows.where("n > 1 and not drop")
+             .withColumn("k", F.row_number().over(Window.partitionBy("id", "hash").orderBy("hash")))
+             .where("k = 1").select("row.*"))
     return once.unionAll(again)
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of every row of `docs(doc_id, text)`; nulls, empty texts, repeats and empty tables as in
+    `near_groups`."""
     g = near_groups(docs)
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import plain_words, small_batches, written
+from assayframe.llm.common import packed, plain_words, small_batches, written
 
 WINDOW = 35
 ROUNDS = 5
@@ -210,7 +210,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int, extra: int):
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("second"), F.col("text"), F.length("text")))
+    return docs.select("text", F.xxhash64("text").alias("t1")).withColumn("t2", F.xxhash64(F.lit("second"), F.col("text"), F.length("text")))
 
 
 ENTRY = np.dtype([("s", "<u8"), ("c", "<u8"), ("l", "<u4"), ("r", "<u4"), ("a", "<u4"), ("d", "<u4"), ("n", "<u2"), ("m", "u1")])
@@ -360,9 +360,10 @@ def _covered(n: int, spans, size: int) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, size: int, rounds: int) -> DataFrame:
-    spans = repeated_spans(docs, size, rounds).groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
-    keyed = docs.withColumn("_t1", F.xxhash64("text")).withColumn("_t2", F.xxhash64(F.lit("second"), F.col("text"), F.length("text")))
-    return keyed.join(spans.withColumnsRenamed({"t1": "_t1", "t2": "_t2"}), ["_t1", "_t2"], "left")
+    """Rows (row, text, spans): the repeated windows of each text, none as null."""
+    spans = repeated_spans(docs, size, rounds).groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    keyed = packed(docs, text=F.col("text"), t1=F.xxhash64("text"), t2=F.xxhash64(F.lit("second"), F.col("text"), F.length("text")))
+    return keyed.join(spans, ["t1", "t2"], "left").select("row", "text", "spans")
 
 
 def _each(texts, spans, size):
@@ -384,19 +385,27 @@ def digest(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFra
             yield pd.DataFrame([(n, m, hashlib.sha256(kept).hexdigest()) for n, m, kept in _each(texts, spans, size)],
                                columns=["n_words", "n_removed", "kept_sha256"]).astype({"n_words": "int64", "n_removed": "int64"})
 
-    return _marked(docs.select("doc_id", "text"), size, rounds).select("doc_id", run(F.col("text"), F.col("_spans")).alias("x")).select("doc_id", "x.*")
+    marked = _marked(docs.select("doc_id", "text"), size, rounds)
+    return marked.select("row.doc_id", run(F.col("text"), F.col("spans")).alias("x")).select("doc_id", "x.*")
 
 
 def without_repeats(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """`docs` with the repeated words taken out of the text; texts that lose none stay as they are. Other columns stay,
-    n_chars (if there) follows the text."""
+    """`docs` with the repeated words taken out of the text; texts that lose none stay as they are, null and empty ones too. Other columns stay, whatever
+    their names, n_chars (if there) follows a text that loses words; repeated rows lose all words of texts of a window's length or more; an empty table gives no rows."""
 
     @F.pandas_udf("string")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, spans in parts:
             yield pd.Series([kept.decode("utf-8", "surrogatepass") if m else t for t, (_, m, kept) in zip(texts, _each(texts, spans, size))], dtype=object)
 
-    out = _marked(docs, size, rounds).withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(run(F.col("text"), F.col("_spans"))))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+    marked = _marked(docs, size, rounds)
+    cut = marked.select("row", F.col("spans").isNotNull().alias("loses"), F.when(F.col("spans").isNull(), F.col("text")).otherwise(run(F.col("text"), F.col("spans"))).alias("left"))
+
+    def column(c):
+        if c == "text":
+            return F.col("left").alias(c)
+        if c == "n_chars":
+            return F.when(F.col("loses"), F.length("left").cast(docs.schema[c].dataType)).otherwise(F.col("row.n_chars")).alias(c)
+        return F.col(f"row.`{c}`")
+
+    return cut.select([column(c) for c in docs.columns])

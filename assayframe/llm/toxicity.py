@@ -23,7 +23,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import crc_mod, small_batches, written
+from assayframe.llm.common import crc_mod, packed, small_batches, written
 
 SAMPLE = 20_000
 LEXICON = 2000
@@ -247,14 +247,19 @@ class Model:
     def __init__(self, lexicon: frozenset[str], stems: frozenset[str], trees, isotonic):
         self.lexicon, self.stems, self.trees, self.isotonic = lexicon, stems, trees, isotonic
 
-    def score(self, df: DataFrame, text: str = "text", into: str = "score") -> DataFrame:
-        """`df` with the calibrated probability that a text is toxic, 0 to 1; null and empty texts get one too."""
+    def scored(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """Rows (row, score): each row of `df` as a struct with the calibrated probability that its text is toxic, 0 to 1; null and empty
+        texts get one too."""
         if self.trees is None:
-            return df.withColumn(into, F.lit(0.0))
-        mine = small_batches(df).withColumn("_features", array_to_vector(feature_column(F.col(text), self.lexicon, self.stems)))
-        out = self.trees.transform(mine).withColumn("_p", vector_to_array("_prob")[1])
+            return packed(df, score=F.lit(0.0))
+        mine = packed(small_batches(df), _features=array_to_vector(feature_column(F.col(text), self.lexicon, self.stems)))
         x, y = (list(map(float, v.toArray())) for v in (self.isotonic.boundaries, self.isotonic.predictions))
-        return out.withColumn(into, _steps(F.col("_p"), x, y)).drop("_features", "_raw", "_prob", "_predicted", "_p")
+        p = self.trees.transform(mine).select("row", vector_to_array("_prob")[1].alias("p"))
+        return p.select("row", _steps(F.col("p"), x, y).alias("score"))
+
+    def score(self, df: DataFrame, text: str = "text", into: str = "score") -> DataFrame:
+        """`df` with the score as column `into`."""
+        return self.scored(df, text).select(*[f"row.`{c}`" for c in df.columns if c != into], F.col("score").alias(into))
 
 
 def _steps(p, x: list[float], y: list[float]):
@@ -322,5 +327,8 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that are not predicted toxic, all columns as they were."""
-    return train(docs, labels).score(docs, into="_score").where(F.col("_score") < THRESHOLD).select(docs.columns)
+    """The rows of `docs` that are not predicted toxic, all columns as they were, whatever their names.
+
+    Null and empty texts are scored like any other and stay if the score is low; repeated rows stay or go together; without labels of both classes
+    all rows stay; an empty table gives no rows."""
+    return train(docs, labels).scored(docs).where(F.col("score") < THRESHOLD).select("row.*")
