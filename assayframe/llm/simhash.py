@@ -142,17 +142,18 @@ def links(fps: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """Every row of `docs(doc_id, text)` with its fingerprint and group: doc_id, text_hash, fp, component_id.
+    """Every row of `docs(doc_id, text)` with its fingerprint and group: doc_id, text_hash, fp, component_id, root.
 
-    The group's id is the least doc_id in it (null only if all are null). Null and empty texts have fingerprint zero and
+    The group's id is the least doc_id in it (null only if all are null), its root one of its fingerprints: two groups can share an id that
+    stands at two texts, but not a root. Null and empty texts have fingerprint zero and
     link like any other; repeated rows stay repeated rows; an empty table gives no rows; further columns are ignored."""
     marked = written(small_batches(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprints(F.col("text"), shingle).alias("fp")), "simhash")
     heads = marked.groupBy("fp").agg(F.min("doc_id").alias("head"))
     roots = components(links(heads.select("fp"), radius), "simhash-groups").withColumnRenamed("node", "fp")
     grouped = heads.join(roots, "fp", "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
     low = grouped.groupBy("root").agg(F.min("head").alias("component_id"))
-    named = written(grouped.join(low, "root").select("fp", "component_id"), "simhash-named")
-    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    named = written(grouped.join(low, "root").select("fp", "component_id", "root"), "simhash-named")
+    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -160,8 +161,7 @@ def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     hash; of fully repeated (doc_id, text) rows one stays. Null and empty texts are one group; an empty table gives no rows."""
     groups = written(near_groups(docs, shingle, radius), "simhash-rows")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
-    heads = written(groups.withColumn("g", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")))
-                    .groupBy("g").agg(F.min(order).alias("x")).select("x.doc_id", "x.text_hash"), "simhash-heads")
+    heads = written(groups.groupBy("root").agg(F.min(order).alias("x")).select("x.doc_id", "x.text_hash"), "simhash-heads")
     rows = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
     a, b = rows.alias("a"), heads.alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.text_hash").eqNullSafe(F.col("b.text_hash"))
