@@ -111,6 +111,7 @@ class Scanner:
         n_words = line.count(b" ") if len(line) > 1 else 0
         flat = line.decode("utf-8", "surrogatepass") + " "
         n_base, first, last, base, labels, grades, tagged = 0, None, None, set(), set(), [], False
+        word, read = -1, 0  # number of the last word begun before `read`
         for end, (phrase, label, is_base) in self.phrases.iter(flat):
             if flat[end + 1] != " ":
                 continue
@@ -120,7 +121,8 @@ class Scanner:
             labels.add(label)
             grades.append(freedom(label))
             if is_base:
-                place = flat.count(" ", 0, end - len(phrase) + 1) - 1
+                word, read = word + flat.count(" ", read, end + 1), end + 1  # hits come by their end
+                place = word - phrase.count(" ")
                 n_base += 1
                 base.add(label)
                 first = place if first is None else min(first, place)
