@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayframe.functions import cells, fixed
+from assayframe.session import scratch_path
+from assayframe.sources import records
 
 _NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 _WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
@@ -74,18 +76,35 @@ def typed(df: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
 MALFORMED = "_malformed"
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool = False,
+def _from_records(spark: SparkSession, path: str, options: dict, delimiter: str, names: list[str], malformed: bool) -> DataFrame:
+    """Text columns of delimited records, the first record of each file left out."""
+    found = records.delimited_records(spark, path, delimiter)
+    heads = found.groupBy("path").agg(F.min(F.struct("start", "nth")).alias("at"))
+    # one row a file
+    found = found.withColumn("at", F.struct("start", "nth")).join(F.broadcast(heads), ["path", "at"], "left_anti")
+    ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, *([MALFORMED] if malformed else [])])
+    plain = {k: str(v) for k, v in options.items() if k in ("sep", "quote", "escape", "mode")} | ({"columnNameOfCorruptRecord": MALFORMED} if malformed else {})
+    return found.select(F.from_csv("record", ddl, plain).alias("r")).select("r.*")
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool | str = False,
                    kinds: dict[str, str] | None = None, malformed: bool = False) -> DataFrame:
-    """Text with a header line. `multi_line` allows line breaks inside quotes but makes a file one task.
+    """Text with a header line. `multi_line` allows line breaks inside quotes: True reads a file as one task, "records" reads
+    its byte ranges apart (the text is scanned twice and its records are stored once).
 
     With `malformed` a column of that name holds the raw text of lines with too many or too few cells (else NULL), so
     nothing of them is lost. Pass `kinds` to skip the inference pass over a large source."""
     options = {"header": True, "sep": delimiter, "quote": '"', "escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE", "enforceSchema": True}
+    apart = multi_line == "records"
+    options["multiLine"] = bool(multi_line)
     raw = spark.read.options(**options).csv(path)
+    if apart and raw.columns:
+        raw = _from_records(spark, path, options, delimiter, raw.columns, malformed)
     if malformed and raw.columns:
-        full = T.StructType([*raw.schema.fields, T.StructField(MALFORMED, T.StringType())])
         # lines are judged by all their cells, whichever columns a query reads
-        raw = spark.read.options(**options, columnNameOfCorruptRecord=MALFORMED, columnPruning=False).schema(full).csv(path)
+        if not apart:
+            full = T.StructType([*raw.schema.fields, T.StructField(MALFORMED, T.StringType())])
+            raw = spark.read.options(**options, columnNameOfCorruptRecord=MALFORMED, columnPruning=False).schema(full).csv(path)
         data = na_to_null(raw.drop(MALFORMED))
         kinds = kinds if kinds is not None else infer_kinds(data)
         whole = raw.select(*[F.when(~cells.quoted(c).isin(fixed.NA_TOKENS), cells.quoted(c)).alias(c) for c in data.columns], MALFORMED)
@@ -101,10 +120,16 @@ def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
     return read_delimited(spark, path, "\t", **options)
 
 
-def read_json(spark: SparkSession, path: str, lines: bool = False, malformed: bool = False) -> DataFrame:
-    """Records array (or one record per line with `lines`, which splits). Time-like names become timestamps.
+def read_json(spark: SparkSession, path: str, lines: bool = False, malformed: bool = False, apart: bool = False) -> DataFrame:
+    """Records array, or one record per line with `lines`, which splits. With `apart` an array of objects is read by byte ranges as well: its
+    records are stored as lines first. Time-like names become timestamps.
 
     Text that is no record is not data: it is left out, or kept in the column `_malformed` when that is asked for."""
+    if apart and not lines:
+        out = scratch_path(spark, "json-records")
+        # a JSON string holds no raw line break, so those between its parts can go
+        records.json_records(spark, path).select(F.regexp_replace("record", r"[\r\n]+", " ")).write.text(out)
+        return read_json(spark, out, lines=True, malformed=malformed)
     df = spark.read.options(multiLine=not lines, columnNameOfCorruptRecord=MALFORMED).json(path)
     keep = [f for f in df.schema.fields if f.name != MALFORMED]
     told = [cells.quoted(MALFORMED)] if MALFORMED in df.columns else [F.lit(None).cast("string").alias(MALFORMED)]

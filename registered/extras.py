@@ -459,3 +459,37 @@ ORACLE["fhir_entries"] = f"WITH b AS ({_BUNDLE_SQL}) " + """SELECT k, 0 AS entry
 UNION ALL SELECT k, 1, 'Observation', 'o' || k FROM b WHERE id % 5 <> 0"""
 QUERIES["fhir_detect"] = lambda s, d: fhir.detect(run_sql(s, d, _BUNDLE_SQL, "customer"), "k", "doc")
 ORACLE["fhir_detect"] = f"WITH b AS ({_BUNDLE_SQL}) SELECT k, CASE WHEN id % 5 = 0 THEN 'Patient' ELSE 'Bundle' END AS resource_type, id % 5 <> 0 AS is_bundle FROM b"
+
+
+# ---- records that no line break ends -----------------------------------------------------
+
+_ID_AND_CELLS = ["CAST(doc_id AS STRING) AS id", "coalesce(text, '') AS body", "coalesce(lang, '') AS lang"]
+
+
+def q_multiline(s, d):
+    """Every document as a quoted cell with its line breaks, commas and quotes; files are read by byte ranges."""
+    out = scratch_path(s, "multiline")
+    cells_ = table(s, d, "documents").selectExpr(*_ID_AND_CELLS)
+    cells_.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxRecordsPerFile=100_000).csv(out)
+    df = readers.read_csv(s, out, multi_line="records")
+    return df.select(F.col("id").alias("doc_id"), F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("body_md5"), "lang")
+
+
+def q_json_array(s, d):
+    """Every document as an object of arrays that stand in one line each; files are read by byte ranges."""
+    out = scratch_path(s, "arrays")
+    objects = table(s, d, "documents").select(F.to_json(F.struct(
+        F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body"),
+        F.struct("lang", F.array(*map(F.lit, ("]", "}", '"', "{"))).alias("marks")).alias("about"))).alias("object"))
+    dealt = objects.withColumn("file", F.pmod(F.xxhash64("object"), F.lit(2)))
+    part = dealt.groupBy("file", F.spark_partition_id().alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("object"), ", "), F.lit("]")).alias("value"))
+    part.select("value").write.text(out)
+    df = readers.read_json(s, out, apart=True)
+    return df.select(F.col("id").alias("doc_id"), F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("body_md5"), F.col("about.lang").alias("lang"), F.size("about.marks").alias("marks"))
+
+
+_BODY = "doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, md5(coalesce(text, '')) AS body_md5, lang"
+QUERIES["read_csv_records"] = q_multiline
+ORACLE["read_csv_records"] = f"SELECT {_BODY} FROM documents"
+QUERIES["read_json_array"] = q_json_array
+ORACLE["read_json_array"] = f"SELECT {_BODY}, 4 AS marks FROM documents"
