@@ -211,10 +211,36 @@ def test_scores(docs, none):
 def test_elias_fano():
     import numpy as np
 
-    for values in ([], [0], [5, 5, 5], list(range(0, 10**6, 777)), [0, 2**60, 2**63]):
+    r = random.Random(3)
+    mixed = sorted({r.getrandbits(r.choice([8, 20, 47])) for _ in range(5000)})
+    for values in ([], [0], [5, 5, 5], list(range(0, 10**6, 777)), [0, 2**60, 2**63], [2**64 - 1], mixed, [7] * 1000 + [2**40], list(range(300))):
         x = np.array(values, np.uint64)
-        n, low, raw = ngrams.EliasFano.pack(x)
-        assert ngrams.EliasFano.unpack(n, low, np.frombuffer(raw, np.uint8)).tolist() == values
+        n, low, words, raw = ngrams.EliasFano.pack(x)
+        level = ngrams.EliasFano(n, low, words, raw)
+        assert level.access(np.arange(n)).tolist() == values
+        asked = sorted({0, 1, 2**63, *values, *(v + 1 for v in values if v < 2**64 - 1), *(r.getrandbits(48) for _ in range(50))})
+        first = {v: i for i, v in reversed(list(enumerate(values)))}
+        assert level.search(np.array(asked, np.uint64)).tolist() == [first.get(v, -1) for v in asked]
+
+
+def test_trie():
+    import math
+
+    import numpy as np
+
+    r = random.Random(4)
+    pairs = Counter((r.choice([3, 2**47, r.getrandbits(47)]), r.getrandbits(r.choice([3, 47]))) for _ in range(3000))
+    rows = sorted(pairs)
+    trie = ngrams.Trie(*(np.array([p[i] for p in rows], np.uint64) for i in (0, 1)), np.array([pairs[p] << 40 for p in rows]))
+    asked = sorted({*rows, *((a, b + 1) for a, b in rows), *((a + 1, b) for a, b in rows), (0, 0)})
+    heads = sorted({a for a, _ in asked})
+    spread = Counter(a for a, _ in asked)
+    found = trie.find(np.array(heads, np.uint64), np.array([spread[a] for a in heads]), np.array([b for _, b in asked], np.uint64))
+    place = {p: i for i, p in enumerate(rows)}
+    assert found.tolist() == [place.get(p, -1) for p in asked]
+    assert all(abs(x - math.log10((pairs[p] << 40) / 4)) < 0.002 for p, x in zip(rows, trie.log10(np.arange(len(rows))), strict=True))
+    empty = ngrams.Trie(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    assert empty.find(np.array([1], np.uint64), np.array([2]), np.array([1, 2], np.uint64)).tolist() == [-1, -1]
 
 
 def test_licenses(docs, none):
