@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from assayframe.functions import fixed
 from assayframe.operators import catalog, privacy, quality, throttle
 from assayframe.plans import assess as plan
-from assayframe.plans import profile
+from assayframe.plans import datasets, profile
 from assayframe.session import scratch_path
 from assayframe.sources import archives, files, fhir, readers, sinks
 from assayframe.streaming import events as ev
-from registered import scoring
+from registered import profiling, scoring
 from registered.fixtures import SQL, cte, run_sql, spread, table, view
 from registered.profiling import pct_sql
 
@@ -200,6 +200,24 @@ fx_catalog AS (SELECT forms.* REPLACE (kind AS file_format, CAST(size AS BIGINT)
   false AS icd_codes_present, false AS snomed_codes_present, false AS loinc_codes_present, false AS fhir_structure, ratio AS imbalance_ratio) FROM forms JOIN facts ON dataset_id % 4 = t)""" + scoring.assessed_ctes() + """
 SELECT dataset_id, file_format, size_bytes, overall_completeness_pct, imbalance_ratio, cqi, cqi_band, prs, prs_band, release_class FROM assessed"""
 
+
+def q_assess_by_group(s, d):
+    """All code datasets are profiled in one job; every form, dealt to one of them, is assessed with what was measured in the same plan."""
+    df, own = profiling.datasets_of(s, d)
+    facts = profile.facts_of(datasets.profile_datasets(df, "ds", own, file_format="parquet")).withColumnRenamed("dataset_id", "table_no")
+    measured = ["overall_completeness_pct", "direct_identifiers_detected", "icd_codes_present", "snomed_codes_present", "loinc_codes_present", "fhir_structure", "imbalance_ratio"]
+    forms = view(s, d, "fx_catalog").drop(*measured).withColumn("table_no", F.concat(F.lit("codes-"), (F.col("dataset_id") % 7).cast("string")))
+    done = plan.assess(plan.combine(forms, facts, "table_no"), texts=False)
+    return done.select("dataset_id", "overall_completeness_pct", "icd_codes_present", "snomed_codes_present", "loinc_codes_present", "cqi", "cqi_band", "prs", "prs_band", "release_class")
+
+
+QUERIES["assess_by_group"] = q_assess_by_group
+ORACLE["assess_by_group"] = cte("fx_codes") + f""", forms AS ({SQL["fx_catalog"].strip()}), facts AS ({profiling.code_facts_sql()}),
+fx_catalog AS (SELECT forms.* REPLACE ('parquet' AS file_format, CAST(0 AS BIGINT) AS size_bytes, facts.overall_pct AS overall_completeness_pct, false AS direct_identifiers_detected,
+  facts.icd_codes_present AS icd_codes_present, facts.snomed_codes_present AS snomed_codes_present, facts.loinc_codes_present AS loinc_codes_present, false AS fhir_structure, CAST(NULL AS DOUBLE) AS imbalance_ratio)
+  FROM forms JOIN facts ON concat('codes-', forms.dataset_id % 7) = facts.dataset_id)""" + scoring.assessed_ctes() + """
+SELECT dataset_id, overall_completeness_pct, icd_codes_present, snomed_codes_present, loinc_codes_present, cqi, cqi_band, prs, prs_band, release_class FROM assessed"""
+
 # ---- event log -------------------------------------------------------------------------
 
 _FIRST = "min(event_timestamp) FILTER (event_type = 'assessment_{}')"

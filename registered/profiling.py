@@ -8,6 +8,7 @@ from assayframe.functions import cells, fixed
 from assayframe.operators import columns as col
 from assayframe.operators import grouped, headers
 from assayframe.operators import rows as rowops
+from assayframe.plans import datasets
 from assayframe.plans import profile as plan
 from registered.fixtures import cte, table, view
 
@@ -255,3 +256,70 @@ ORACLE["profile_table"] = (
   (SELECT {pct_sql('max(n)', 'min(n) * 100')} FROM (SELECT count(*) AS n FROM fx_patients GROUP BY treatment_outcome)) AS imbalance_ratio,
   {pct_sql('count(*) FILTER (age < 18)', 'count(age)')} AS under_18_pct, {_VIOL} AS schema_violations,
   {pct_sql(f'count(*) - ({_VIOL})', 'count(*)')} AS conformant_rows_pct FROM fx_patients""")
+
+
+# ---- many datasets in one job ----------------------------------------------------------
+
+CODE_COLS = ["id", "icd_col", "loinc_col", "snomed_col", "mixed_col", "rare_code_col", "empty_col"]
+
+
+def datasets_of(spark, sf_dir):
+    """Patients by site and codes in seven parts: datasets of two layouts in one table, and each dataset's own columns."""
+    patients = view(spark, sf_dir, "fx_patients").withColumnRenamed("site", "ds")
+    codes = view(spark, sf_dir, "fx_codes").withColumn("ds", F.concat(F.lit("codes-"), (F.col("id") % 7).cast("string")))
+    own = []
+    for df in (patients, codes):
+        names = [c for c in df.columns if c != "ds"]
+        listed = F.array(*[F.struct(F.lit(n).alias("column_name"), F.lit(i).alias("ord")) for i, n in enumerate(names)])
+        own.append(df.select(F.col("ds").alias("dataset_id")).distinct().select("dataset_id", F.inline(listed)))
+    return patients.unionByName(codes, allowMissingColumns=True), own[0].unionAll(own[1])
+
+
+def q_facts_by_group(spark, sf_dir):
+    """Every fact of the dataset profile for every dataset."""
+    df, own = datasets_of(spark, sf_dir)
+    found = datasets.profile_datasets(df, "ds", own, file_format="parquet")
+    classes = F.array_sort(F.transform(F.map_entries("label_columns.class_distribution"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))))
+    joined = [F.array_join(c, ",").alias(c.split(".")[1]) for c in (
+        "completeness.columns_below_90pct", "completeness.columns_below_50pct", "pii_scan.name_columns", "pii_scan.phone_columns", "pii_scan.id_columns",
+        "pii_scan.gps_columns", "pii_scan.dob_columns", "standards_detected.icd_columns", "standards_detected.snomed_columns", "standards_detected.loinc_columns")]
+    return found.select("dataset_id", "file.format", "shape.rows", "shape.columns", "completeness.overall_pct", *joined, "pii_scan.direct_identifiers_detected", "duplicates.*",
+                        "standards_detected.icd_codes_present", "standards_detected.snomed_codes_present", "standards_detected.loinc_codes_present", "split_columns.*",
+                        "label_columns.label_column", "label_columns.binary_label_detected", "label_columns.imbalance_ratio", F.array_join(classes, ",").alias("classes"),
+                        F.col("age_distribution.min").alias("age_min"), F.col("age_distribution.max").alias("age_max"),
+                        *[F.col(f"age_distribution.{c}").alias(f"age_{c}") for c in ("under_18_pct", "18_to_60_pct", "over_60_pct")], "schema_consistency.*")
+
+
+def _below(names: list[str], test: str) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN count({c}) * {test} THEN '{c}' END" for c in names) + ")"
+
+
+def _codes_in(code: str) -> str:
+    pattern = {"icd": r"^[A-Z]\d{2}(\.\d{1,4})?$", "snomed": r"^\d{6,18}$", "loinc": r"^\d{1,5}-\d$"}[code]
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN count(*) FILTER (regexp_matches(trim({c}), '{pattern}')) * 2 > count({c}) THEN '{c}' END" for c in CODE_COLS[1:]) + ")"
+
+
+_SITE_COLS = ["id", "age", "bmi", "sex", "patient_name", "treatment_outcome", "district_id", "balance"]
+
+
+def code_facts_sql() -> str:
+    return f"""SELECT concat('codes-', id % 7) AS dataset_id, 'parquet' AS format, count(*) AS rows, 7 AS columns, {pct_sql(' + '.join(f'count({c})' for c in CODE_COLS), 'count(*) * 7')} AS overall_pct,
+  {_below(CODE_COLS, '10 < count(*) * 9')} AS columns_below_90pct, {_below(CODE_COLS, '2 < count(*)')} AS columns_below_50pct, '' AS name_columns, '' AS phone_columns, 'id' AS id_columns, '' AS gps_columns, '' AS dob_columns,
+  {_codes_in('icd')} AS icd_columns, {_codes_in('snomed')} AS snomed_columns, {_codes_in('loinc')} AS loinc_columns, false AS direct_identifiers_detected,
+  count(*) - count(DISTINCT ({', '.join(CODE_COLS)})) AS exact_duplicate_rows, {pct_sql(f"count(*) - count(DISTINCT ({', '.join(CODE_COLS)}))", 'count(*)')} AS exact_duplicate_pct,
+  {_codes_in('icd')} <> '' AS icd_codes_present, {_codes_in('snomed')} <> '' AS snomed_codes_present, {_codes_in('loinc')} <> '' AS loinc_codes_present,
+  false AS split_column_detected, false AS fold_column_detected, NULL AS label_column, false AS binary_label_detected, CAST(NULL AS DOUBLE) AS imbalance_ratio, '' AS classes, CAST(NULL AS DOUBLE) AS age_min, CAST(NULL AS DOUBLE) AS age_max,
+  CAST(NULL AS DOUBLE) AS age_under_18_pct, CAST(NULL AS DOUBLE) AS age_18_to_60_pct, CAST(NULL AS DOUBLE) AS age_over_60_pct, 100.0 AS conformant_rows_pct, 0 AS schema_violations FROM fx_codes GROUP BY id % 7"""
+
+
+QUERIES["facts_by_group"] = q_facts_by_group
+ORACLE["facts_by_group"] = cte("fx_patients", "fx_codes") + f""", n AS (SELECT site, treatment_outcome AS value, count(*) AS n FROM fx_patients WHERE treatment_outcome IS NOT NULL GROUP BY ALL),
+c AS (SELECT site, count(*) AS classes, {pct_sql('max(n)', 'min(n) * 100')} AS ratio, string_agg(concat(value, ':', n), ',' ORDER BY value) AS shown FROM n GROUP BY site),
+p AS (SELECT site AS dataset_id, 'parquet' AS format, count(*) AS rows, 8 AS columns, {pct_sql(' + '.join(f'count({c})' for c in _SITE_COLS), 'count(*) * 8')} AS overall_pct,
+  {_below(_SITE_COLS, '10 < count(*) * 9')} AS columns_below_90pct, {_below(_SITE_COLS, '2 < count(*)')} AS columns_below_50pct, 'patient_name' AS name_columns, '' AS phone_columns, 'id' AS id_columns, '' AS gps_columns, '' AS dob_columns,
+  '' AS icd_columns, '' AS snomed_columns, '' AS loinc_columns, true AS direct_identifiers_detected, count(*) - count(DISTINCT ({', '.join(_SITE_COLS)})) AS exact_duplicate_rows,
+  {pct_sql(f"count(*) - count(DISTINCT ({', '.join(_SITE_COLS)}))", 'count(*)')} AS exact_duplicate_pct, false AS icd_codes_present, false AS snomed_codes_present, false AS loinc_codes_present, false AS split_column_detected, false AS fold_column_detected,
+  'treatment_outcome' AS label_column, any_value(classes) = 2 AS binary_label_detected, CASE WHEN any_value(classes) >= 2 THEN any_value(ratio) END AS imbalance_ratio, any_value(shown) AS classes, min(age) AS age_min, max(age) AS age_max,
+  {pct_sql('count(*) FILTER (age < 18)', 'count(age)')} AS age_under_18_pct, {pct_sql('count(*) FILTER (age BETWEEN 18 AND 60)', 'count(age)')} AS age_18_to_60_pct, {pct_sql('count(*) FILTER (age > 60)', 'count(age)')} AS age_over_60_pct,
+  {pct_sql(f'count(*) - ({_VIOL})', 'count(*)')} AS conformant_rows_pct, {_VIOL} AS schema_violations FROM (SELECT t.*, c.classes, c.ratio, c.shown FROM fx_patients t JOIN c ON t.site IS NOT DISTINCT FROM c.site) GROUP BY site)
+SELECT * FROM p UNION ALL BY NAME """ + code_facts_sql()
