@@ -8,8 +8,9 @@ from assayframe.functions import cells, fixed
 from assayframe.operators import columns as col
 from assayframe.operators import grouped, headers
 from assayframe.operators import rows as rowops
-from assayframe.plans import datasets
+from assayframe.plans import datasets, incremental
 from assayframe.plans import profile as plan
+from assayframe.session import scratch_path
 from registered.fixtures import cte, table, view
 
 QUERIES = {}
@@ -323,3 +324,33 @@ p AS (SELECT site AS dataset_id, 'parquet' AS format, count(*) AS rows, 8 AS col
   {pct_sql('count(*) FILTER (age < 18)', 'count(age)')} AS age_under_18_pct, {pct_sql('count(*) FILTER (age BETWEEN 18 AND 60)', 'count(age)')} AS age_18_to_60_pct, {pct_sql('count(*) FILTER (age > 60)', 'count(age)')} AS age_over_60_pct,
   {pct_sql(f'count(*) - ({_VIOL})', 'count(*)')} AS conformant_rows_pct, {_VIOL} AS schema_violations FROM (SELECT t.*, c.classes, c.ratio, c.shown FROM fx_patients t JOIN c ON t.site IS NOT DISTINCT FROM c.site) GROUP BY site)
 SELECT * FROM p UNION ALL BY NAME """ + code_facts_sql()
+
+
+# ---- profile that grows by partitions --------------------------------------------------
+
+def q_incremental(spark, sf_dir):
+    """Line items arrive by year, in two loads and one year again; the whole is put together from states and held against all rows."""
+    df = table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
+    path = scratch_path(spark, "profile-states")
+    for load in (df.where("year < 1995"), df.where("year >= 1995 or year is null"), df.where("year = 1994")):
+        incremental.add_parts(load, "year", path)
+    found = incremental.merged(incremental.read_states(spark, path))
+    errors = incremental.rank_errors(df, found).withColumnRenamed("column_name", "_c")
+    exact = grouped.unpivot(df, ["year"]).groupBy("column_name", "num", "txt").count().where("num is not null or txt is not null").groupBy(F.col("column_name").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    top = F.when(F.col("kind") == "text", F.col("top_values")[0])
+    return (found.join(errors, F.col("column_name") == F.col("_c"), "left").join(exact, F.col("column_name") == F.col("_d")).select(
+        "column_name", "kind", "parts", "rows", "missing_count", "completeness_pct", "min", "max", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"),
+        (F.col("rank_error") <= incremental.RANK_ERROR).alias("quartiles_hold"), (F.abs(F.col("distinct_estimate") - F.col("_n")) <= F.col("_n") * incremental.DISTINCT_ERROR).alias("distinct_holds"),
+        top["item"].alias("most_frequent"), top["count"].alias("most_frequent_count")))
+
+
+QUERIES["profile_incremental"] = q_incremental
+_YEARS = "(SELECT count(*) FROM (SELECT DISTINCT year(l_shipdate) FROM lineitem))"
+_SHIPPED = "UNION ALL SELECT 'l_shipdate', 'datetime', {y}, count(*), count(*) - count(l_shipdate), {p}, NULL, NULL, NULL, NULL, NULL, true, NULL, NULL FROM lineitem"
+ORACLE["profile_incremental"] = "\nUNION ALL ".join(
+    [f"SELECT '{c}' AS column_name, 'numeric' AS kind, {_YEARS} AS parts, count(*) AS rows, count(*) - count({c}) AS missing_count, {pct_sql(f'count({c})', 'count(*)')} AS completeness_pct, CAST(min({c}) AS DOUBLE) AS min, "
+     f"CAST(max({c}) AS DOUBLE) AS max, round(avg(CAST({c} AS DOUBLE)), 4) AS mean, round(stddev_samp(CAST({c} AS DOUBLE)), 4) AS std, true AS quartiles_hold, true AS distinct_holds, CAST(NULL AS VARCHAR) AS most_frequent, CAST(NULL AS BIGINT) AS most_frequent_count FROM lineitem"
+     for c in LINE_NUMERIC]
+    + [f"SELECT '{c}', 'text', {_YEARS}, count(*), count(*) - count({c}), {pct_sql(f'count({c})', 'count(*)')}, NULL, NULL, NULL, NULL, NULL, true, "
+       f"(SELECT {c} FROM lineitem GROUP BY 1 ORDER BY count(*) DESC LIMIT 1), (SELECT count(*) FROM lineitem GROUP BY {c} ORDER BY count(*) DESC LIMIT 1) FROM lineitem" for c in ("l_returnflag", "l_linestatus")]
+) + "\n" + _SHIPPED.format(y=_YEARS, p=pct_sql("count(l_shipdate)", "count(*)"))
