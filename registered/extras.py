@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from assayframe.functions import fixed
-from assayframe.operators import catalog, privacy, quality, throttle
+from assayframe.operators import catalog, documents, privacy, quality, throttle
 from assayframe.plans import assess as plan
 from assayframe.plans import datasets, profile
-from assayframe.session import scratch_path
-from assayframe.sources import archives, files, fhir, readers, sinks
+from assayframe.session import scratch_path, stored
+from assayframe.sources import archives, commits, files, fhir, readers, sinks
 from assayframe.streaming import events as ev
 from registered import profiling, scoring
 from registered.fixtures import SQL, cte, run_sql, spread, table, view
@@ -339,7 +339,7 @@ JOIN b ON b.client = c.client AND b.t >= c.opened AND b.t < c.opened + 60000000
 
 
 def q_audit_sink(s, d):
-    """Events appended by batch and by stream, read back and counted."""
+    """Events appended in two batches, read back and counted."""
     audit = view(s, d, "fx_audit")
     out = scratch_path(s, "audit")
     sinks.append_events(sinks.events(audit.where(F.col("event_type") == "assessment_failed"), "assessment_id", "assessment_failed",
@@ -365,6 +365,59 @@ def q_result_sink(s, d):
 QUERIES["result_sink"] = q_result_sink
 ORACLE["result_sink"] = _ASSESSED + " SELECT release_class AS release_classification, count(*) AS cnt, CAST(sum(CAST(cqi AS DECIMAL(5,1))) AS DOUBLE) AS cqi_sum, sum(baseline_risk) AS risk_sum FROM assessed GROUP BY 1"
 
+
+def q_audit_stream(s, d):
+    """The audit log arrives in three loads; every seventh event is sent again with a later load, and the first load is committed once more by hand."""
+    audit = view(s, d, "fx_audit")
+    source, out = scratch_path(s, "audit-arrivals"), scratch_path(s, "audit-store")
+    by_load = F.pmod(F.xxhash64("log_id"), F.lit(3))
+    for load in range(3):
+        sent = audit.where((by_load == load) | ((by_load < load) & (F.pmod(F.xxhash64("log_id", F.lit(1)), F.lit(7)) == 0)))
+        sent.write.mode("append").parquet(source)
+        commits.stream_events(ev.read_stream(s, source, audit.schema), out, out + "-checkpoint")
+    again = audit.where(by_load == 0).withColumn("event_date", F.to_date("event_timestamp"))
+    commits.commit_batch(again, out, 0, ["log_id"], ("event_date",))
+    kept = s.read.parquet(out)
+    return kept.groupBy("event_date", "event_type", "severity").agg(F.count(F.lit(1)).alias("cnt"), F.countDistinct("log_id").alias("ids"), F.countDistinct("assessment_id").alias("assessments"))
+
+
+QUERIES["audit_stream_sink"] = q_audit_stream
+ORACLE["audit_stream_sink"] = cte("fx_audit") + """SELECT CAST(event_timestamp AS DATE) AS event_date, event_type, severity, count(*) AS cnt, count(DISTINCT log_id) AS ids, count(DISTINCT assessment_id) AS assessments
+FROM fx_audit GROUP BY 1, 2, 3"""
+
+
+def q_assessment_sinks(s, d):
+    """Profiles, scores, results and reports in two batches that overlap, the second committed twice; what the stores hold."""
+    df, own = profiling.datasets_of(s, d)
+    profiles = stored(datasets.profile_datasets(df, "ds", own), "profiles")
+    done = stored(plan.assess(view(s, d, "fx_catalog")), "assessed")
+    reports = documents.report(done)
+    name = F.coalesce(F.col("dataset_id"), F.lit(""))
+    paths = {n: scratch_path(s, f"store-{n}") for n in ("profiles", "scores", "results", "reports")}
+    for number in (0, 1, 1):
+        part = lambda rows, test: rows.where(test) if number == 0 else rows  # noqa: B023, E731
+        commits.commit_profiles(part(profiles, name.startswith("codes")), paths["profiles"], number)
+        commits.commit_scores(part(done, F.col("dataset_id") % 3 == 0), paths["scores"], number, "dataset_id")
+        commits.commit_results(part(done, F.col("dataset_id") % 3 == 0), paths["results"], number, "dataset_id")
+        commits.commit_reports(part(reports, F.col("dataset_id") % 3 == 0), paths["reports"], number, "dataset_id")
+    told = None
+    for n, keys, total in (("profiles", ["dataset_id"], F.sum("shape.rows")), ("scores", ["dataset_id", "domain_number"], F.sum("score")),
+                           ("results", ["assessment_id"], F.sum("total_domain_score")), ("reports", ["dataset_id"], F.sum(F.get_json_object("report_json", "$.cqi.total_score").cast("bigint")))):
+        held = s.read.parquet(paths[n])
+        one = held.agg(F.lit(n).alias("sink"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("batch_no") == 0).alias("first_batch"), total.cast("double").alias("total"))
+        repeated = sinks.repeated_keys(held, keys).agg(F.count(F.lit(1)).alias("repeated_keys"))
+        one = one.select("*", repeated.select("repeated_keys").scalar().alias("repeated_keys"))
+        told = one if told is None else told.unionAll(one)
+    return told
+
+
+QUERIES["assessment_sinks"] = q_assessment_sinks
+ORACLE["assessment_sinks"] = _ASSESSED + ", " + cte("fx_patients", "fx_codes").strip().removeprefix("WITH ") + """
+SELECT 'profiles' AS sink, (SELECT count(*) FROM (SELECT DISTINCT site FROM fx_patients)) + 7 AS rows, CAST(7 AS BIGINT) AS first_batch, CAST((SELECT count(*) FROM fx_patients) + (SELECT count(*) FROM fx_codes) AS DOUBLE) AS total, CAST(0 AS BIGINT) AS repeated_keys
+UNION ALL SELECT 'scores', 15 * count(*), 15 * count(*) FILTER (dataset_id % 3 = 0), CAST(sum(total_score) AS DOUBLE), 0 FROM assessed
+UNION ALL SELECT 'results', count(*), count(*) FILTER (dataset_id % 3 = 0), CAST(sum(total_score) AS DOUBLE), 0 FROM assessed
+UNION ALL SELECT 'reports', count(*), count(*) FILTER (dataset_id % 3 = 0), CAST(sum(total_score) AS DOUBLE), 0 FROM assessed"""
+
 # ---- text sources ----------------------------------------------------------------------
 
 _RAW_SQL = """SELECT CAST(c_custkey AS STRING) AS id, CASE c_custkey % 9 WHEN 0 THEN 'N/A' WHEN 1 THEN 'null' WHEN 2 THEN 'none' WHEN 3 THEN '' WHEN 4 THEN '-1.#IND' ELSE c_mktsegment END AS segment,
