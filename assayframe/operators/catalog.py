@@ -53,11 +53,11 @@ def with_percent_rank(results: DataFrame, value: str = "cqi") -> DataFrame:
     """Add percent_rank of a score with one decimal in 0..100; rows without a score rank first, like the least value.
 
     Such a score has at most 1001 values, so the ranks are a literal map of that size and no row moves. A column with
-    more distinct values is no such score and is refused."""
+    more distinct values is no such score and is refused; `numbering.with_ranks` ranks any column."""
     results = stored(results, "scores")  # two passes read it
     counts = results.groupBy(value).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col(value).asc_nulls_first()).limit(MAX_SCORES + 2).collect()
     if len(counts) > MAX_SCORES + 1:
-        raise ValueError(f"{value} has more than {MAX_SCORES} distinct values")
+        raise ValueError(f"{value} has more than {MAX_SCORES} distinct values; numbering.with_ranks has no such limit")
     total, less, ranks, none = sum(r["n"] for r in counts), 0, [], 0.0
     for r in counts:
         share = round(less / (total - 1), 6) if total > 1 else 0.0

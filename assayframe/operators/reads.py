@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayframe.operators import numbering
+
 
 def visible_to(assessments: DataFrame, role: str, user_id=None) -> DataFrame:
     """Rows a role may see: admins none, reviewers all, others their own."""
@@ -59,6 +61,11 @@ def audit_trail(audit: DataFrame, assessment_id=None) -> DataFrame:
     return audit.orderBy("assessment_id", "event_timestamp", "log_id")
 
 
+def audit_positions(audit: DataFrame) -> DataFrame:
+    """The whole trail with each event's exact position from 1 on, by assessment and time; the log is sorted in ranges."""
+    return numbering.with_row_number(audit, [F.col("assessment_id"), F.col("event_timestamp"), F.col("log_id")], "position")
+
+
 def completion_log(audit: DataFrame, key: str = "assessment_id") -> DataFrame:
     """(key, audit_log_id): first completion event, else first event. One partial aggregation."""
     at = F.struct("event_timestamp", "log_id")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from assayframe.functions import fixed
-from assayframe.operators import catalog, documents, privacy, quality, throttle
+from assayframe.operators import catalog, documents, numbering, privacy, quality, throttle
 from assayframe.plans import assess as plan
 from assayframe.plans import datasets, profile
 from assayframe.session import scratch_path, stored
@@ -167,6 +167,8 @@ QUERIES["cqi_cube"] = lambda s, d: catalog.cross_distribution(_results(s, d), "f
 ORACLE["cqi_cube"] = _ASSESSED + """ SELECT file_format, prs_band, CAST(grouping(file_format, prs_band) AS INT) AS level, count(*) AS datasets, round(avg(cqi), 4) AS mean_cqi FROM assessed GROUP BY CUBE (file_format, prs_band)"""
 QUERIES["cqi_percent_rank"] = lambda s, d: catalog.with_percent_rank(_results(s, d).select("dataset_id", "cqi"))
 ORACLE["cqi_percent_rank"] = _ASSESSED + " SELECT dataset_id, cqi, round(percent_rank() OVER (ORDER BY cqi), 6) AS percent_rank FROM assessed"
+QUERIES["price_percent_rank"] = lambda s, d: numbering.with_ranks(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice")
+ORACLE["price_percent_rank"] = "SELECT o_orderkey, o_totalprice, rank() OVER (ORDER BY o_totalprice NULLS FIRST) AS rank, round(percent_rank() OVER (ORDER BY o_totalprice NULLS FIRST), 6) AS percent_rank FROM orders"
 QUERIES["band_search"] = lambda s, d: catalog.search(_results(s, d), ["Gold", "Platinum"], ["Low", "Moderate"], ["Open", "Controlled"]).select("dataset_id", "cqi", "prs", "release_class")
 ORACLE["band_search"] = _ASSESSED + " SELECT dataset_id, cqi, prs, release_class FROM assessed WHERE cqi_band IN ('Gold', 'Platinum') AND prs_band IN ('Low', 'Moderate') AND release_class IN ('Open', 'Controlled')"
 

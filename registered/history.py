@@ -49,6 +49,8 @@ ORACLE["user_history_page"] = cte("fx_assessments") + "SELECT * FROM fx_assessme
 
 QUERIES["audit_trail"] = lambda s, d: reads.audit_trail(view(s, d, "fx_audit"))
 ORACLE["audit_trail"] = cte("fx_audit") + "SELECT * FROM fx_audit"
+QUERIES["audit_positions"] = lambda s, d: reads.audit_positions(view(s, d, "fx_audit")).select("log_id", "assessment_id", "event_timestamp", "position")
+ORACLE["audit_positions"] = cte("fx_audit") + "SELECT log_id, assessment_id, event_timestamp, row_number() OVER (ORDER BY assessment_id, event_timestamp, log_id) AS position FROM fx_audit"
 QUERIES["completion_log_pick"] = lambda s, d: reads.completion_log(view(s, d, "fx_audit"))
 ORACLE["completion_log_pick"] = cte("fx_audit") + """SELECT assessment_id, coalesce(first(log_id ORDER BY event_timestamp, log_id) FILTER (event_type = 'assessment_complete'),
   first(log_id ORDER BY event_timestamp, log_id)) AS audit_log_id FROM fx_audit GROUP BY assessment_id"""
