@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from assayframe.functions import fixed
-from assayframe.operators import catalog, documents, numbering, privacy, quality, throttle
+from assayframe.operators import catalog, documents, grouped, numbering, privacy, quality, throttle
 from assayframe.plans import assess as plan
 from assayframe.plans import datasets, profile
 from assayframe.session import scratch_path, stored
@@ -471,6 +471,30 @@ for _kind in ("csv", "tsv"):
     ORACLE[f"read_{_kind}"] = _READ + f"""SELECT flag = 'True' AS flag, count(*) AS rows, count(*) FILTER (segment NOT IN ({_NA})) AS segments, count(*) FILTER (nation NOT IN ({_NA})) AS nations,
   CAST(sum(TRY_CAST(nation AS BIGINT)) AS BIGINT) AS nation_sum, round(sum(CAST(amount AS DOUBLE)), 2) AS amount_sum FROM r GROUP BY 1"""
     ORACLE[f"read_{_kind}"] = ORACLE[f"read_{_kind}"].replace("TRY_CAST(nation AS BIGINT)", f"CASE WHEN nation NOT IN ({_NA}) THEN CAST(nation AS BIGINT) END")
+
+
+def q_read_parquet(s, d):
+    """Every supplied relational table read by its format and profiled by column: rows, missing cells, least and greatest number."""
+    told = None
+    for name in ("lineitem", "orders", "customer", "part", "supplier"):
+        df = readers.ingest(s, f"{d.rstrip('/')}/{name}.parquet", "parquet").data
+        one = grouped.unpivot(df, []).groupBy("column_name").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("num").isNull() & F.col("txt").isNull()).alias("missing"),
+                                                                 F.min("num").alias("min"), F.max("num").alias("max"))
+        one = one.select(F.lit(name).alias("table_name"), "*")
+        told = one if told is None else told.unionAll(one)
+    return told
+
+
+_PARQUET_COLS = {
+    "lineitem": (profiling.LINE_NUMERIC, ["l_returnflag", "l_linestatus", "l_shipdate"]),
+    "orders": (["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderdate", "o_orderpriority"]),
+    "customer": (["c_custkey", "c_nationkey", "c_acctbal"], ["c_name", "c_mktsegment"]),
+    "part": (["p_partkey", "p_size", "p_retailprice"], ["p_name", "p_brand", "p_type"]),
+    "supplier": (["s_suppkey", "s_nationkey", "s_acctbal"], ["s_name"])}
+QUERIES["read_parquet"] = q_read_parquet
+ORACLE["read_parquet"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS missing, " + (f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max" if c in numbers else "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max")
+    + f" FROM {t}" for t, (numbers, others) in _PARQUET_COLS.items() for c in [*numbers, *others])
 QUERIES["read_json"] = _written("json")
 ORACLE["read_json"] = _READ + "SELECT flag, count(*) AS rows, count(segment) AS segments FROM r GROUP BY flag"
 

@@ -354,3 +354,12 @@ ORACLE["profile_incremental"] = "\nUNION ALL ".join(
     + [f"SELECT '{c}', 'text', {_YEARS}, count(*), count(*) - count({c}), {pct_sql(f'count({c})', 'count(*)')}, NULL, NULL, NULL, NULL, NULL, true, "
        f"(SELECT {c} FROM lineitem GROUP BY 1 ORDER BY count(*) DESC LIMIT 1), (SELECT count(*) FROM lineitem GROUP BY {c} ORDER BY count(*) DESC LIMIT 1) FROM lineitem" for c in ("l_returnflag", "l_linestatus")]
 ) + "\n" + _SHIPPED.format(y=_YEARS, p=pct_sql("count(l_shipdate)", "count(*)"))
+
+
+# ---- codes among the first values ------------------------------------------------------
+
+QUERIES["standards_ordered"] = lambda s, d: col.standards_in_order(view(s, d, "fx_codes"), ["id"])
+ORACLE["standards_ordered"] = cte("fx_codes") + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS judged, " + ", ".join(f"count(*) FILTER (regexp_matches(trim(v), '{p}')) AS {k}_matches" for k, p in fixed.CODE_PATTERNS.items()) + ", "
+    + ", ".join(f"count(*) FILTER (regexp_matches(trim(v), '{p}')) * 2 > count(*) AS {k}_detected" for k, p in fixed.CODE_PATTERNS.items())
+    + f" FROM (SELECT {c} AS v, row_number() OVER (ORDER BY id) AS place FROM fx_codes WHERE {c} IS NOT NULL) WHERE place <= 500" for c in CODE_COLS[1:])

@@ -31,3 +31,14 @@ def test_small(spark):
     one = spark.createDataFrame([(None, 5)], "v int, row_no int")
     assert numbering.with_row_number(one, [F.col("v")]).collect() == [(None, 1)]
     assert [tuple(x) for x in numbering.with_ranks(one, "v").collect()] == [(None, 5, 1, 0.0)]
+
+
+def test_codes_among_first(spark):
+    from assayframe.operators import columns
+
+    df = spark.createDataFrame([(i, "A09.9" if i < 500 else "no", None if i % 2 else "123456", None, i) for i in range(2000)], "id int, a string, b string, c string, n int").repartition(7)
+    got = {r["column_name"]: r for r in columns.standards_in_order(df, ["id"]).collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"]["icd_matches"] == 500 and got["a"]["icd_detected"] and got["b"]["judged"] == 500 and got["b"]["snomed_detected"]
+    assert got["c"]["judged"] == 0 and not got["c"]["icd_detected"]
+    assert not next(r for r in columns.standards_in_order(df, ["id"], 1500).collect() if r["column_name"] == "a")["icd_detected"]
+    assert columns.standards_in_order(df.select("id"), ["id"]).count() == 0
