@@ -34,6 +34,22 @@ def lifecycle_stream(audit: DataFrame, key: str = "assessment_id") -> DataFrame:
                                   F.count(F.lit(1)).alias("events"))
 
 
+def closed_runs(audit: DataFrame, key: str = "assessment_id", idle: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """One row per run: the events of one assessment with at most `idle` between neighbours.
+
+    On a stream (append mode) a run is told once, when the watermark has passed its end, and leaves the state; rows that come
+    after that are dropped. So state holds open runs only, however many assessments there were. On a table all runs are told. Events without
+    time are left out; events without assessment are runs of their own key."""
+    timed = with_event_time(audit, "event_timestamp", late) if audit.isStreaming else audit.withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp"))
+    at, kind = F.struct("event_timestamp", "log_id"), F.col("event_type")
+    when = lambda test: F.min(F.when(test, F.col("event_timestamp")))
+    runs = timed.groupBy(F.session_window("event_timestamp", idle).alias("w"), F.col(key)).agg(
+        F.count(F.lit(1)).alias("events"), F.max_by("event_type", at).alias("last_event"), F.max("event_timestamp").alias("last_at"),
+        when(kind == "assessment_submitted").alias("submitted_at"), when(kind == "assessment_started").alias("started_at"),
+        when(kind.isin("assessment_complete", "assessment_failed")).alias("ended_at"))
+    return runs.select(key, F.col("w.start").alias("opened_at"), "last_at", "last_event", "events", "submitted_at", "started_at", "ended_at")
+
+
 def quality_counters(stream: DataFrame, at: str, value: str, by: list[str], low: float | None = None, high: float | None = None,
                      window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Rows, missing values and range violations per event-time window."""

@@ -325,6 +325,36 @@ QUERIES["stream_lifecycle"] = q_stream_lifecycle
 ORACLE["stream_lifecycle"] = "SELECT user_id AS assessment_id, last(event_type ORDER BY ts, event_id) AS last_event, max(ts) AS last_at, count(*) AS events FROM events GROUP BY 1"
 
 
+_RUN_TIMES = ["opened_at", "last_at", "submitted_at", "started_at", "ended_at"]
+
+
+def q_stream_runs(s, d):
+    """The audit log arrives in four loads by time; runs that cross loads are put together, told once and dropped. A last event of
+    another assessment, years on, closes all of them."""
+    audit = view(s, d, "fx_audit").withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp"))
+    source, out = scratch_path(s, "run-arrivals"), scratch_path(s, "runs")
+    kind = audit.schema["assessment_id"].dataType
+    last = audit.agg(F.max("event_timestamp").alias("m")).select(*[(F.col("m") + F.expr("INTERVAL 3 YEARS")).alias(c) if c == "event_timestamp" else F.lit(None).cast(audit.schema[c].dataType).alias(c) for c in audit.columns])
+    cuts = audit.agg(F.expr("percentile(unix_micros(event_timestamp), array(0.25, 0.5, 0.75))").alias("c")).first()["c"]
+    load = sum(((F.unix_micros("event_timestamp") > c).cast("int") for c in cuts), F.lit(0))
+    for n in range(5):
+        (audit.where(load == n) if n < 4 else last).write.mode("append").parquet(source)
+        ev.run_available(ev.closed_runs(ev.read_stream(s, source, audit.schema)), out, out + "-checkpoint")
+    told = s.read.parquet(out).withColumn("assessment_id", F.col("assessment_id").cast(kind))
+    return told.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in _RUN_TIMES else F.col(c) for c in told.columns])
+
+
+QUERIES["stream_runs"] = q_stream_runs
+_RUN_SQL = cte("fx_audit") + """, g AS (SELECT *, CASE WHEN event_timestamp <= lag(event_timestamp) OVER (PARTITION BY assessment_id ORDER BY event_timestamp, log_id) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM fx_audit),
+r AS (SELECT *, sum(opens) OVER (PARTITION BY assessment_id ORDER BY event_timestamp, log_id ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT assessment_id, min(event_timestamp) AS opened_at, max(event_timestamp) AS last_at, last(event_type ORDER BY event_timestamp, log_id) AS last_event, count(*) AS events,
+  min(event_timestamp) FILTER (event_type = 'assessment_submitted') AS submitted_at, min(event_timestamp) FILTER (event_type = 'assessment_started') AS started_at,
+  min(event_timestamp) FILTER (event_type IN ('assessment_complete', 'assessment_failed')) AS ended_at FROM r GROUP BY assessment_id, run"""
+ORACLE["stream_runs"] = _RUN_SQL
+QUERIES["batch_runs"] = lambda s, d: (lambda t: t.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in _RUN_TIMES else F.col(c) for c in t.columns]))(ev.closed_runs(view(s, d, "fx_audit")))
+ORACLE["batch_runs"] = _RUN_SQL
+
+
 def q_stream_throttle(s, d):
     stream = _event_stream(s, d)
     base = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
