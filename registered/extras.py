@@ -548,7 +548,7 @@ def _zip(batches):
 
 
 def _archives(s, d):
-    return table(s, d, "customer").select("c_custkey", "c_name").mapInPandas(_zip, "path string, content binary")
+    return spread(table(s, d, "customer").select("c_custkey", "c_name")).mapInPandas(_zip, "path string, content binary")
 
 
 QUERIES["zip_first_member"] = lambda s, d: archives.first_members(_archives(s, d))
