@@ -149,9 +149,9 @@ def radar(scores: DataFrame, key: str = "dataset_id") -> DataFrame:
 
 
 def radar_wide(scores: DataFrame, key: str = "dataset_id", numbers: range = range(1, 16)) -> DataFrame:
-    """One row per dataset, D1..D15; the pivot values are given, so no extra pass finds them."""
-    wide = scores.groupBy(key).pivot("domain_number", list(numbers)).agg(F.max("score"))
-    return wide.select(key, *[F.coalesce(F.col(str(n)), F.lit(0)).alias(f"D{n}") for n in numbers])
+    """One row per dataset, D1..D15. One group per dataset holds all its numbers; a pivot would first group by dataset and number."""
+    return scores.groupBy(key).agg(*[
+        F.coalesce(F.max(F.when(F.col("domain_number") == n, F.col("score"))), F.lit(0)).alias(f"D{n}") for n in numbers])
 
 
 def score_progress(scores: DataFrame, key: str = "dataset_id") -> DataFrame:
