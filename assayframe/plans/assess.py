@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from assayframe.operators import composite
 from assayframe.operators import domains as dom
 from assayframe.plans import criteria as crit
+from assayframe.session import stored
+
+FEW_FACTS = 20_000  # rows of profile facts that are broadcast
 
 RESULT_COLUMNS = [
     "total_score", "max_possible", "cqi", "cqi_band", "cqi_trace", "baseline_risk", "risk_basis",
@@ -53,8 +56,12 @@ def what_if(facts: DataFrame, sets: Mapping[str, Mapping[str, Any]], **options)
 
 def combine(metadata: DataFrame, profile: DataFrame, key: str = "dataset_id") -> DataFrame:
     """Metadata with the profile facts of the same dataset. A measured fact wins over the form's value; a dataset without
-    profile keeps what the form says."""
-    m, p = metadata.alias("m"), profile.alias("p")
+    profile keeps what the form says.
+
+    The facts are stored and counted: up to `FEW_FACTS` rows are broadcast, so that forms that share few profiles are not
+    gathered by them; more are joined by shuffle."""
+    profile = stored(profile, "facts")
+    m, p = metadata.alias("m"), (F.broadcast(profile) if profile.count() <= FEW_FACTS else profile).alias("p")
     facts = [c for c in profile.columns if c != key]
     both = m.join(p, F.col(f"m.{key}") == F.col(f"p.{key}"), "left")
     return both.select(*[F.coalesce(F.col(f"p.{c}"), F.col(f"m.{c}")).alias(c) if c in facts else F.col(f"m.{c}") for c in metadata.columns],
