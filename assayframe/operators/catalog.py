@@ -20,7 +20,8 @@ def with_previous(df: DataFrame, key: str, order: list[str], values: list[str],
     from the chunk before. Chunks are ranges of (key, order) of about equal size, so a hot key spreads over many
     wherever its rows stand in time; a `chunk` of one's own must not decrease along `order`."""
     at = F.struct(*order)
-    cut = df.repartitionByRange(key, *order).withColumn("_chunk", F.spark_partition_id()) if chunk is None else df.withColumn("_chunk", chunk)
+    # the range cut samples its input before it reads it: stored first, so that nothing before it runs twice
+    cut = stored(df, "series-rows").repartitionByRange(key, *order).withColumn("_chunk", F.spark_partition_id()) if chunk is None else df.withColumn("_chunk", chunk)
     rows = stored(cut, "series")  # two branches read it
     ends = rows.groupBy(F.col(key).alias("_of"), F.col("_chunk").alias("_part")).agg(F.max_by(F.struct(*values), at).alias("_end"))
     before = ends.select("_of", "_part", F.lag("_end").over(W.partitionBy("_of").orderBy("_part")).alias("_there"))
