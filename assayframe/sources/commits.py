@@ -13,6 +13,7 @@ from assayframe.session import stored
 from assayframe.sources import sinks
 
 BATCH = "batch_no"
+FEW_KEYS = 50_000  # keys that are broadcast; more are joined by shuffle
 
 
 class RepeatedKeys(ValueError):
@@ -32,16 +33,30 @@ def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 def fresh_rows(rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key that `held` lacks. Of rows with one key the least in their JSON form stays, so a retry keeps the same
-    one; the choice is made map-side, so a hot key does not gather. NULL is a key like any other."""
+    one; the choice is made map-side, so a hot key does not gather. NULL is a key like any other. `rows` are read twice, for
+    their keys and whole."""
     # helper names cannot meet a user's column: rows travel inside one struct
     row = rows.select(F.struct(*[cells.quoted(c) for c in rows.columns]).alias("r"))
     by = [F.col("r").getField(k).alias(f"k{i}") for i, k in enumerate(keys)]
-    one = row.groupBy(*by).agg(F.min_by("r", F.to_json("r")).alias("r"))
     there = held.select(*[cells.quoted(k).alias(f"h{i}") for i, k in enumerate(keys)])
     same = F.lit(True)
     for i in range(len(keys)):
         same = same & F.col(f"k{i}").eqNullSafe(F.col(f"h{i}"))
-    return one.join(there, same, "left_anti").select("r.*")
+    # only keys are moved to find those that come twice; rows of other keys are neither grouped nor written as JSON
+    found = row.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    twice = stored(found.select(*[F.col(f"k{i}").alias(f"h{i}") for i in range(len(keys))]), "repeated")
+    few = min(twice.count(), FEW_KEYS + 1)
+    if few > FEW_KEYS:
+        one = row.groupBy(*by).agg(F.min_by("r", F.to_json("r")).alias("r"))
+    else:
+        one = row.select(*by, "r")
+        if few:
+            again = one.join(F.broadcast(twice), same, "left_semi").groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.min_by("r", F.to_json("r")).alias("r"))
+            one = one.join(F.broadcast(twice), same, "left_anti").unionByName(again)
+    known = there.limit(FEW_KEYS + 1).count()
+    if known:
+        one = one.join(F.broadcast(there) if known <= FEW_KEYS else there, same, "left_anti")
+    return one.select("r.*")
 
 
 def commit_batch(rows: DataFrame, path: str, number: int, keys: list[str], partition_by: tuple[str, ...] = (), conflicts: str = "skip") -> None:
