@@ -20,6 +20,7 @@ from assayframe.plans import criteria as crit
 
 
 CLEAN = "_clean_"
+JIT_LIMIT = 8000  # bytes of a method that the JVM still compiles
 _CLEANED_FIELDS = [
     "dataset_name", "dataset_version", "dataset_type", "study_type", "target_population", "geographic_coverage",
     "sex_distribution", "deidentification_method", "standards_used", "license_type", "ethics_approval_ref",
@@ -27,8 +28,20 @@ _CLEANED_FIELDS = [
 ]
 
 
+def compiled(df: DataFrame) -> DataFrame:
+    """`df`, its session planning the scorers as split projections.
+
+    Fused into one method they pass the 8000 bytes up to which the JVM compiles a method, and are interpreted. It is a
+    setting of the session that plans the job; a smaller one is kept."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.codegen.hugeMethodLimit")) > JIT_LIMIT:
+        conf.set("spark.sql.codegen.hugeMethodLimit", str(JIT_LIMIT))
+    return df
+
+
 def with_clean(df: DataFrame) -> DataFrame:
     """Trim each text field once, ahead of the scorers that read it several times."""
+    df = compiled(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     todo = [n for n in _CLEANED_FIELDS if cells.is_text(types.get(n, T.NullType())) and CLEAN + n not in types]
     return df.select("*", *[cells.clean(F.col(n)).alias(CLEAN + n) for n in todo]) if todo else df
