@@ -30,7 +30,7 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 AWAY = frozenset("nav aside footer menu dialog".split())
 WHOLE = frozenset("html body main article".split())  # whose names say nothing against their text
 GENERIC = frozenset("header banner banners promo notice notices legal widget widgets toolbar copyright skip form".split())  # as a tag or whole name
-COST, IN_ARTICLE = 6.0, 0.5
+AWAY_COST, IN_ARTICLE = 6.0, 0.5
 WRAPS = {1: (0.3, 0.6), 2: (0.9, 1.0)}  # share of the page's text from which a mark (1: generic, 2: certain) costs less, and nothing
 CLOSES_P = BLOCK - {"br"}
 COMMENT = r"comments?|disqus|replies|reply|respond"
@@ -91,16 +91,24 @@ class Tree:
             if self.mark[v]:
                 low, high = WRAPS[self.mark[v]]
                 share = size[v] / size[0] if size[0] else 0.0
-                own = COST * min(1.0, max(0.0, (high - share) / (high - low)))
+                own = AWAY_COST * min(1.0, max(0.0, (high - share) / (high - low)))
             above = 0.0 if self.tag[v] == "main" else generic[up] * (IN_ARTICLE if self.tag[v] == "article" else 1.0)
             generic[v] = above + (own if self.mark[v] == 1 else 0.0)
             certain[v] = max(certain[up], own if self.mark[v] == 2 else 0.0)
-            keep[v] = (keep[up] or self.held[v]) and own <= COST / 2 and certain[v] <= COST / 2
+            keep[v] = (keep[up] or self.held[v]) and own <= AWAY_COST / 2 and certain[v] <= AWAY_COST / 2
         for b in found:
             b.away, b.keep = generic[b.node] + certain[b.node], keep[b.node]
 
 
-def blocks(page: str) -> tuple[list[Block], Tree]:
+class Blocks(list):
+    """Blocks of a page in their order, with the tree they stand in."""
+
+    def __init__(self, found: list[Block], tree: Tree):
+        super().__init__(found)
+        self.tree = tree
+
+
+def blocks(page: str) -> Blocks:
     """Text blocks in page order, and their tree. Open elements are a stack of (tag, node, silent, link, nearest block element)."""
     out: list[Block] = []
     tree = Tree()
@@ -181,7 +189,7 @@ def blocks(page: str) -> tuple[list[Block], Tree]:
         b.text = SPACE.sub(" ", entities.unescape("".join(b.parts))).strip()
     out = [b for b in out if b.text]
     tree.judge(out)
-    return out, tree
+    return Blocks(out, tree)
 
 
 def names(attributes: str) -> str:
@@ -211,9 +219,9 @@ def evidence(b: Block) -> float:
     return score
 
 
-def edges(found: list[Block], tree: Tree) -> list[tuple[int, int, float]]:
+def edges(found: Blocks) -> list[tuple[int, int, float]]:
     """Smoothness: next blocks, and next blocks under one parent, by the share of their path in common."""
-    out, last = [], {}
+    tree, out, last = found.tree, [], {}
     for i, b in enumerate(found):
         seen = {}
         if i:
@@ -296,10 +304,10 @@ def min_cut(cost: list[float], links: list[tuple[int, int, float]]) -> list[bool
 
 def main_text(page: str | None) -> str:
     """Main text of one page; null and pages without text give the empty text."""
-    found, tree = blocks(page or "")
+    found = blocks(page or "")
     if not found:
         return ""
-    keep = min_cut([evidence(b) for b in found], edges(found, tree))
+    keep = min_cut([evidence(b) for b in found], edges(found))
     return " ".join(b.text for b, k in zip(found, keep) if k)
 
 
