@@ -87,18 +87,30 @@ def profile_summary(facts: DataFrame) -> Column:
         f("sampled", False, "boolean"), f("sample_rows", None, "bigint"))
 
 
+DETAIL_ROWS = 20_000  # assessments of one part: a task holds the texts of all their scores
+
+
+def by_key(df: DataFrame, key: str, rows: int = DETAIL_ROWS) -> DataFrame:
+    """Rows dealt by their key, about `rows` to a part. Rows that are made wide afterwards then lie by key already: groups and
+    joins by it move the narrow rows given here and not the wide ones."""
+    conf = df.sparkSession.conf
+    least = [conf.get(n, None) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")]
+    return df.repartition(max(-(-df.count() // rows), *[int(n) for n in least if n], 1), key)  # fewer parts than a join's would be dealt anew
+
+
 def detail(assessments: DataFrame, results: DataFrame, scores: DataFrame, metadata: DataFrame, profiles: DataFrame,
            audit: DataFrame, key: str = "assessment_id") -> DataFrame:
     """Detail document columns of every assessment; parts stay NULL unless it is complete with a result.
 
-    Every child is reduced to one row per assessment before the join: at most 15 scores, one log id."""
+    Every child is reduced to one row per assessment before the join: at most 15 scores, one log id. Scores made of rows that lie
+    `by_key` are grouped and joined where they are, without moving a text; they are never broadcast, as their size is guessed too low."""
     numbers = scores.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
         "domain_number", "domain_name", "score", F.when(~F.col("not_applicable"), F.lit(4)).alias("max_score"),
         "not_applicable", F.when(~F.col("not_applicable"), F.col("confidence")).alias("confidence"),
         "rationale", "evidence_items", "gaps"))).alias("domain_scores"))
     summary = profiles.select(key, profile_summary(profiles).alias("profile_summary"))
     forms = metadata.select(key, F.col("dataset_name"), F.col("sensitivity_class"))
-    joined = (assessments.join(results.withColumn("_has_result", F.lit(True)), key, "left").join(numbers, key, "left")
+    joined = (assessments.join(numbers.hint("merge"), key, "left").join(results.withColumn("_has_result", F.lit(True)), key, "left")
               .join(forms.withColumn("_has_form", F.lit(True)), key, "left").join(summary, key, "left")
               .join(completion_log(audit, key), key, "left"))
     ready = (F.col("status") == "complete") & F.col("_has_result").isNotNull()

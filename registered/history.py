@@ -60,11 +60,13 @@ for _role, _who, _cond in (("submitter", 37, "user_id = 37"), ("reviewer", None,
     ORACLE[f"visible_{_role}"] = cte("fx_assessments") + f"SELECT * FROM fx_assessments WHERE {_cond}"
 
 def q_detail(spark, sf_dir):
-    done = plan.assess(view(spark, sf_dir, "fx_catalog")).withColumnRenamed("dataset_id", "assessment_id")
-    scores = dom.long_scores(done, "assessment_id")
-    results = plan.results(done, "assessment_id")
-    meta = view(spark, sf_dir, "fx_catalog").select(F.col("dataset_id").alias("assessment_id"), "dataset_name", "sensitivity_class")
-    facts = view(spark, sf_dir, "fx_catalog").select(F.col("dataset_id").alias("assessment_id"), "overall_completeness_pct", "file_format",
+    catalog = view(spark, sf_dir, "fx_catalog")
+    told = plan.assess(reads.by_key(catalog, "dataset_id")).withColumnRenamed("dataset_id", "assessment_id")
+    scores = dom.long_scores(told, "assessment_id")
+    done = plan.assess(catalog).withColumnRenamed("dataset_id", "assessment_id")
+    results = plan.results(done, "assessment_id")  # narrower than the catalog's rows
+    meta = catalog.select(F.col("dataset_id").alias("assessment_id"), "dataset_name", "sensitivity_class")
+    facts = catalog.select(F.col("dataset_id").alias("assessment_id"), "overall_completeness_pct", "file_format",
                                                      "size_bytes", "direct_identifiers_detected", "icd_codes_present")
     doc = reads.detail(_assessments(spark, sf_dir), results, scores, meta, facts, view(spark, sf_dir, "fx_audit"))
     return doc.select(

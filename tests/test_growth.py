@@ -1,6 +1,7 @@
 """Work of the larger tables: parts, groups and joins that do not grow with them, rows that leave together, nothing run twice."""
 
 import io
+import re
 import zipfile
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from assayframe.operators import catalog, domains, reads
 from assayframe.plans import assess as plan
 from assayframe.sources import archives, commits
-from registered import fixtures
+from registered import fixtures, history
 
 
 def _archive(text):
@@ -96,3 +97,34 @@ def test_scorers_stay_within_what_the_jvm_compiles(spark):
             assert spark.conf.get(name) == after
     finally:
         spark.conf.set(name, was)
+
+
+def test_texts_of_a_detail_are_not_moved(spark, sf_dir):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        doc = history.q_detail(spark, sf_dir)
+        steps = doc._jdf.queryExecution().explainString(doc._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).split("\n\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    moved = [t for t in steps if re.match(r"\(\d+\) (Exchange|BroadcastExchange)\n", t)]
+    assert len(moved) > 4 and any("collect_list" in t for t in steps)
+    assert not [t for t in moved if "rationale" in t or "domain_scores" in t or "buf#" in t]  # buf: gathered in part
+
+
+def test_rows_by_key_make_the_same_details(spark, monkeypatch):
+    monkeypatch.setattr(reads.by_key, "__defaults__", (10,))
+    rows = spark.range(95).select(F.expr("if(id % 19 = 0, null, id % 40)").alias("dataset_id"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("dataset_name"))
+    dealt = reads.by_key(rows, "dataset_id")
+    assert dealt.rdd.getNumPartitions() == max(10, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, rows.collect()))
+    found = []
+    for given in (rows, dealt):
+        done = plan.assess(given).withColumnRenamed("dataset_id", "assessment_id")
+        runs = spark.range(45).select(F.col("id").alias("assessment_id"), F.expr("if(id % 3 = 0, 'failed', 'complete')").alias("status"),
+                                      F.lit("d").alias("dataset_id"), F.lit("2024-01-01").alias("submission_timestamp"))
+        audit = spark.createDataFrame([(1, 2, "2024-01-01", "assessment_complete")], "assessment_id long, log_id long, event_timestamp string, event_type string")
+        names = given.select(F.col("dataset_id").alias("assessment_id"), "dataset_name", F.lit("standard").alias("sensitivity_class")).distinct()
+        doc = reads.detail(runs, plan.results(done, "assessment_id"), domains.long_scores(done, "assessment_id"), names, names, audit)
+        found.append(sorted(map(str, doc.collect())))
+    assert found[0] == found[1] and sum("Score" in r for r in found[0]) > 10
