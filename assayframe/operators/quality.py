@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,23 +159,50 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _digits(start: int):
-    return lambda h: F.substring(h, start, 8)
+BLOCK = 50_000  # shingles of a long text hashed at a time
+
+
+def least_digits(size: int, block: int = BLOCK):
+    """Of a text's words joined by one space each (UTF-8): per hash the least 8 hex digits over the SHA-256 of all shingles.
+
+    Fewer than `size` words are one shingle. Shingles are slices of the joined words, and digests are compared as numbers."""
+    import hashlib
+
+    import numpy as np
+
+    def run(words: bytes) -> list[str]:
+        gaps = np.flatnonzero(np.frombuffer(words, np.uint8) == 32)
+        starts, ends = np.append(0, gaps + 1), np.append(gaps, len(words))
+        count = max(len(starts) - size + 1, 1)
+        ends = ends[min(size, len(ends)) - 1:]
+        least = None
+        for i in range(0, count, block):
+            j = min(i + block, count)
+            grams = {words[a:b] for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist())}
+            got = np.frombuffer(b"".join([hashlib.sha256(g).digest() for g in grams]), ">u4").reshape(-1, HASHES).min(axis=0)
+            least = got if least is None else np.minimum(least, got)
+        return [f"{n:08x}" for n in least.tolist()]
+
+    return run
 
 
 def shingle_bands(df: DataFrame, key: str, text: str, size: int = 3) -> DataFrame:
     """(key, band, value): min-hash bands of the word shingles of each whole text.
 
-    A text shorter than one shingle is its own single shingle. Work is row-local until here."""
-    w = F.col("_w")
-    grams = F.when(F.size(w) < size, F.array(F.array_join(w, " "))).otherwise(F.transform(
-        F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.array_join(F.slice(w, i, size), " ")))
-    hashed = (df.select(key, _words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
-              .select(key, F.transform(F.array_distinct(grams), lambda g: F.sha2(g, 256)).alias("_h")))
-    mins = [F.array_min(F.transform("_h", _digits(1 + 8 * i))) for i in range(HASHES)]
+    A text shorter than one shingle is its own single shingle. Work is row-local until here: words are found by Spark, their
+    shingles hashed in batches, since a lambda over them is interpreted shingle by shingle."""
+    digits = least_digits(size)
+
+    @F.pandas_udf("array<string>")
+    def mins(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: digits(w) if w else None)
+
+    hashed = df.select(key, mins(F.array_join(_words(F.col(text)), " ").cast("binary")).alias("_m"))
     per = HASHES // BANDS
-    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.concat(*mins[b * per:(b + 1) * per]).alias("value")) for b in range(BANDS)])
-    return hashed.select(key, F.inline(bands))
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.concat(*[F.col("_m")[i] for i in range(b * per, (b + 1) * per)]).alias("value"))
+                      for b in range(BANDS)])
+    # rows without words leave last: an earlier filter is pushed to the scan, whose few tasks would then do all the work as well
+    return hashed.select(key, F.inline(bands)).where(F.col("value").isNotNull())
 
 
 def near_copies(df: DataFrame, key: str, text: str, size: int = 3) -> DataFrame:

@@ -1,5 +1,6 @@
 """Work of the larger tables: parts, groups and joins that do not grow with them, rows that leave together, nothing run twice."""
 
+import hashlib
 import io
 import re
 import zipfile
@@ -7,7 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from assayframe.operators import catalog, domains, reads
+from assayframe.operators import catalog, domains, quality, reads
 from assayframe.plans import assess as plan
 from assayframe.sources import archives, commits
 from registered import fixtures, history
@@ -128,3 +129,20 @@ def test_rows_by_key_make_the_same_details(spark, monkeypatch):
         doc = reads.detail(runs, plan.results(done, "assessment_id"), domains.long_scores(done, "assessment_id"), names, names, audit)
         found.append(sorted(map(str, doc.collect())))
     assert found[0] == found[1] and sum("Score" in r for r in found[0]) > 10
+
+
+def test_shingles_are_hashed_in_batches_after_the_exchange(spark):
+    texts = ["One two, three FOUR five", "one  two", "b a b a b a b", "Ünïcode ँ x y", "...", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    bands = quality.shingle_bands(df.repartition(3), "id", "text")
+    steps = bands._jdf.queryExecution().executedPlan().toString()
+    assert "transform(" not in steps and "split(" not in steps[steps.index("Exchange"):]  # neither interpreted, nor in the scan's tasks
+    expected = set()
+    for i, words in enumerate(["one two three four five", "one two", "b a b a b a b", "ünïcode x y"]):
+        w = words.split()
+        hashes = [hashlib.sha256(" ".join(w[j:j + 3]).encode()).hexdigest() for j in range(max(len(w) - 2, 1))]
+        least = [min(h[8 * k:8 * k + 8] for h in hashes) for k in range(8)]
+        expected |= {(i, b, least[2 * b] + least[2 * b + 1]) for b in range(4)}
+    assert {tuple(r) for r in bands.collect()} == expected
+    long = " ".join(str(i % 700) for i in range(1000)).encode()
+    assert quality.least_digits(3, 7)(long) == quality.least_digits(3)(long)
