@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,31 +35,74 @@ def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
         return spark.createDataFrame([], full)
 
 
+@contextmanager
+def as_they_lie(spark: SparkSession) -> Iterator[None]:
+    """Joins planned inside take rows that lie by some of the join's keys as they are; Spark would deal them anew by all of them."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _few(keys: DataFrame) -> int:
+    return min(keys.limit(FEW_KEYS + 1).count(), FEW_KEYS + 1)
+
+
+def _not_held(one: DataFrame, there: DataFrame, count: int) -> DataFrame:
+    """Rows (k0.., r) whose keys are not in `there` (h0..).
+
+    Only keys are moved: those that both hold are found first and then taken out of the rows. Few are broadcast; the joins of many are
+    plain equalities, so that rows which lie by key stay where they are, and only keys with a NULL are compared apart."""
+    ks, hs = [f"k{i}" for i in range(count)], [f"h{i}" for i in range(count)]
+
+    def all_of(pairs: list[Column]) -> Column:
+        return reduce(lambda a, b: a & b, pairs)
+
+    same = all_of([F.col(k).eqNullSafe(F.col(h)) for k, h in zip(ks, hs)])
+    equal = all_of([F.col(k) == F.col(h) for k, h in zip(ks, hs)])
+
+    def lacking(names: list[str]) -> Column:
+        return reduce(lambda a, b: a | b, [F.col(n).isNull() for n in names])
+
+    known = _few(there)
+    if known <= FEW_KEYS:
+        return one.join(F.broadcast(there), same, "left_anti") if known else one
+    mine = one.select(*ks)
+    both = mine.join(there.hint("merge"), equal, "left_semi").unionAll(
+        mine.where(lacking(ks)).join(there.where(lacking(hs)).hint("merge"), same, "left_semi"))
+    lost = stored(both.toDF(*hs), "held")
+    found = _few(lost)
+    if found <= FEW_KEYS:
+        return one.join(F.broadcast(lost), same, "left_anti") if found else one
+    # files of keys are small, so that Spark would guess them fit to be broadcast
+    one = one.join(lost.hint("merge"), equal, "left_anti")
+    nulls = lost.where(lacking(hs))
+    odd = _few(nulls)
+    return one.join(F.broadcast(nulls) if odd <= FEW_KEYS else nulls.hint("merge"), same, "left_anti") if odd else one
+
+
 def fresh_rows(rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key that `held` lacks. Of rows with one key the least in their JSON form stays, so a retry keeps the same
-    one; the choice is made map-side, so a hot key does not gather. NULL is a key like any other. `rows` are read twice, for
+    one; the choice is made map-side, so a hot key does not gather. NULL is a key like any other. `rows` are read several times, for
     their keys and whole."""
     # helper names cannot meet a user's column: rows travel inside one struct
-    row = rows.select(F.struct(*[cells.quoted(c) for c in rows.columns]).alias("r"))
-    by = [F.col("r").getField(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    by = [f"k{i}" for i in range(len(keys))]
+    row = rows.select(*[cells.quoted(k).alias(b) for k, b in zip(keys, by)], F.struct(*[cells.quoted(c) for c in rows.columns]).alias("r"))
     there = held.select(*[cells.quoted(k).alias(f"h{i}") for i, k in enumerate(keys)])
-    same = F.lit(True)
-    for i in range(len(keys)):
-        same = same & F.col(f"k{i}").eqNullSafe(F.col(f"h{i}"))
     # only keys are moved to find those that come twice; rows of other keys are neither grouped nor written as JSON
     found = row.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    twice = stored(found.select(*[F.col(f"k{i}").alias(f"h{i}") for i in range(len(keys))]), "repeated")
-    few = min(twice.count(), FEW_KEYS + 1)
+    twice = stored(found.select(*[F.col(b).alias(f"t{i}") for i, b in enumerate(by)]), "repeated")
+    few = _few(twice)
+    one = _not_held(row, there, len(keys))
     if few > FEW_KEYS:
-        one = row.groupBy(*by).agg(F.min_by("r", F.to_json("r")).alias("r"))
-    else:
-        one = row.select(*by, "r")
-        if few:
-            again = one.join(F.broadcast(twice), same, "left_semi").groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.min_by("r", F.to_json("r")).alias("r"))
-            one = one.join(F.broadcast(twice), same, "left_anti").unionByName(again)
-    known = there.limit(FEW_KEYS + 1).count()
-    if known:
-        one = one.join(F.broadcast(there) if known <= FEW_KEYS else there, same, "left_anti")
+        one = one.groupBy(*by).agg(F.min_by("r", F.to_json("r")).alias("r"))
+    elif few:
+        same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"t{i}")) for i, b in enumerate(by)])
+        again = one.join(F.broadcast(twice), same, "left_semi").groupBy(*by).agg(F.min_by("r", F.to_json("r")).alias("r"))
+        one = one.join(F.broadcast(twice), same, "left_anti").unionByName(again)
     return one.select("r.*")
 
 
@@ -67,14 +114,16 @@ def commit_batch(rows: DataFrame, path: str, number: int, keys: list[str], parti
     if BATCH in rows.columns or conflicts not in ("skip", "raise"):
         raise ValueError(f"no column may be named {BATCH}" if BATCH in rows.columns else f"conflicts={conflicts!r}")
     held = read_store(rows.sparkSession, path, rows.schema).where(F.col(BATCH) != number)
-    if conflicts == "raise":
-        rows = stored(rows, "batch")
-        out = stored(fresh_rows(rows, held, keys), "fresh")
-        if out.count() < rows.count():
-            raise RepeatedKeys(f"batch {number}: keys {keys} are stored already or repeated")
-    else:
-        out = fresh_rows(rows, held, keys)
-    out.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/{BATCH}={number}")
+    with as_they_lie(rows.sparkSession):
+        if conflicts == "raise":
+            rows = stored(rows, "batch")
+            out = stored(fresh_rows(rows, held, keys), "fresh")
+            if out.count() < rows.count():
+                raise RepeatedKeys(f"batch {number}: keys {keys} are stored already or repeated")
+        else:
+            out = fresh_rows(rows, held, keys)
+        # texts of a store repeat much; zstd halves what Spark's default leaves of them
+        out.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(f"{path}/{BATCH}={number}")
 
 
 def stream_into(stream: DataFrame, path: str, keys: list[str], checkpoint: str, partition_by: tuple[str, ...] = ()) -> None:

@@ -1,10 +1,14 @@
 """Numbered batches: retries, keys across batches, streams that send rows again."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from assayframe.session import stored_by
 from assayframe.sources import commits
 from assayframe.streaming import events as ev
+from registered import fixtures
 
 SCHEMA = "id string, k0 string, r int, h0 map<string,int>"
 
@@ -48,3 +52,53 @@ def test_stream_sends_again(spark, tmp_path):
         commits.stream_events(ev.read_stream(spark, source, rows.schema), path, mark)
     got = spark.read.parquet(path)
     assert sorted(r["log_id"] for r in got.collect()) == ["a", "b", "c"] and got.select("event_date").distinct().count() == 3
+
+
+@pytest.mark.parametrize("few", [0, 4, 50_000])
+def test_fresh_rows_of_few_and_many_keys(spark, monkeypatch, few):
+    """Whatever is broadcast: one row per key that the store lacks, the least JSON of equal keys, NULL and NaN keys like any other."""
+    monkeypatch.setattr(commits, "FEW_KEYS", few)
+    nan = float("nan")
+    ids = [None, nan, 0.0, *range(1, 12)]
+    some = [(i, k, f"t{n}") for n, (i, k) in enumerate((i, k) for i in ids for k in (None, "a", "b"))]
+    rows = [(None if i is None else float(i), k, t) for i, k, t in some + [(i, k, t + "0") for i, k, t in some[::4]] + [some[3], some[20]]]
+    there = [(None, None), (None, "a"), (nan, None), (nan, "b"), (-0.0, "a"), (99.0, "a"), (3.0, None), *[(float(i), "b") for i in range(4, 9)], (5.0, "b")]
+    shown = lambda x: "NaN" if x is not None and x != x else x
+    gone = {(shown(i), k) for i, k in there}
+    want = {}
+    for i, k, t in rows:
+        key, form = (shown(i), k), json.dumps({"i": shown(i), "k": k, "t": t})
+        if key not in gone:
+            want[key] = min(want.get(key, (form, t)), (form, t))
+    made = spark.createDataFrame(rows, "i double, k string, t string")
+    out = commits.fresh_rows(made, spark.createDataFrame(there, "i double, k string"), ["i", "k"])
+    got = [((shown(r["i"]), r["k"]), r["t"]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(((key, t) for key, (_, t) in want.items()), key=str)
+
+
+@pytest.mark.parametrize("keys", [["id"], ["id", "part"]])
+def test_rows_that_lie_by_key_are_not_moved(spark, monkeypatch, keys):
+    monkeypatch.setattr(commits, "FEW_KEYS", 3)
+    wide = spark.range(200).selectExpr("nullif(id, 7) AS id", "repeat('x', 50) AS text", f"{'array(1, 2, 3)' if len(keys) > 1 else 'array(1)'} AS parts")
+    rows = stored_by(wide.repartition(4, "id"), "lying", "id", 4).selectExpr("id", "text", "explode(parts) AS part")
+    held = spark.range(0, 200, 2).selectExpr("id", "1 AS part").unionAll(spark.sql("SELECT CAST(NULL AS BIGINT), 1"))
+    broadcast = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(broadcast)
+    spark.conf.set(broadcast, "-1")
+    with commits.as_they_lie(spark):
+        out = commits.fresh_rows(rows, held, keys)
+        moved = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hash" in x]
+        assert moved and all("hashpartitioning(h0" in x for x in moved)
+        left = out.collect()
+    spark.conf.set(broadcast, before)
+    assert len(left) == len({(r["id"], r["part"]) for r in left}) == (99 if len(keys) == 1 else 499)
+    assert not [r for r in left if r["part"] == 1 and (r["id"] is None or r["id"] % 2 == 0)]
+
+
+def test_stored_by_and_dealt_views_hold_all_rows(spark, sf_dir):
+    names = {t.name for t in spark.catalog.listTables()}
+    plain, dealt = fixtures.view(spark, sf_dir, "fx_catalog"), fixtures.view(spark, sf_dir, "fx_catalog", by=("o_orderkey", 5))
+    kept = stored_by(dealt, "catalog", "dataset_id", 5)
+    assert kept.columns == plain.columns and kept.count() == plain.count() > 0
+    assert kept.exceptAll(plain).isEmpty() and {t.name for t in spark.catalog.listTables()} == names
+    assert "Exchange" not in kept.groupBy("dataset_id").count()._jdf.queryExecution().executedPlan().toString()
