@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 from functools import reduce
 
@@ -37,14 +37,17 @@ def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 @contextmanager
 def as_they_lie(spark: SparkSession) -> Iterator[None]:
-    """Joins planned inside take rows that lie by some of the join's keys as they are; Spark would deal them anew by all of them."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    """Joins planned inside take rows that lie by some of the join's keys as they are; Spark would deal them anew by all of them.
+    Shuffle files of a query that ran inside leave the disk with it, and do not wait for the driver's memory to be cleaned."""
+    inside = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {name: spark.conf.get(name) for name in inside}
+    for name, value in inside.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _few(keys: DataFrame) -> int:
@@ -84,14 +87,23 @@ def _not_held(one: DataFrame, there: DataFrame, count: int) -> DataFrame:
     return one.join(F.broadcast(nulls) if odd <= FEW_KEYS else nulls.hint("merge"), same, "left_anti") if odd else one
 
 
-def fresh_rows(rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+def fresh_rows(rows: DataFrame, held: DataFrame, keys: list[str], typed: Mapping[str, str] | None = None) -> DataFrame:
     """One row per key that `held` lacks. Of rows with one key the least in their JSON form stays, so a retry keeps the same
     one; the choice is made map-side, so a hot key does not gather. NULL is a key like any other. `rows` are read several times, for
-    their keys and whole."""
+    their keys and whole.
+
+    `typed`: for a key that is the text of an integer, the column of `rows` that holds the integer. It is compared in its place, so
+    that rows may lie by it, and is not returned."""
+    typed = typed or {}
     # helper names cannot meet a user's column: rows travel inside one struct
     by = [f"k{i}" for i in range(len(keys))]
-    row = rows.select(*[cells.quoted(k).alias(b) for k, b in zip(keys, by)], F.struct(*[cells.quoted(c) for c in rows.columns]).alias("r"))
+    row = rows.select(*[cells.quoted(typed.get(k, k)).alias(b) for k, b in zip(keys, by)],
+                      F.struct(*[cells.quoted(c) for c in rows.columns if c not in typed.values()]).alias("r"))
     there = held.select(*[cells.quoted(k).alias(f"h{i}") for i, k in enumerate(keys)])
+    for i, k in enumerate(keys):
+        if k in typed:  # a stored text that is not how its number is written equals no key
+            text, number = F.col(f"h{i}"), F.col(f"h{i}").try_cast(rows.schema[typed[k]].dataType)
+            there = there.where(text.isNull() | (number.cast("string") == text)).withColumn(f"h{i}", number)
     # only keys are moved to find those that come twice; rows of other keys are neither grouped nor written as JSON
     found = row.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     twice = stored(found.select(*[F.col(b).alias(f"t{i}") for i, b in enumerate(by)]), "repeated")
@@ -106,22 +118,24 @@ def fresh_rows(rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     return one.select("r.*")
 
 
-def commit_batch(rows: DataFrame, path: str, number: int, keys: list[str], partition_by: tuple[str, ...] = (), conflicts: str = "skip") -> None:
+def commit_batch(rows: DataFrame, path: str, number: int, keys: list[str], partition_by: tuple[str, ...] = (), conflicts: str = "skip",
+                 typed: Mapping[str, str] | None = None) -> None:
     """Store batch `number`. Its folder is replaced, so a retry after a lost driver or executor adds nothing; rows whose keys other batches
     hold are left out (`conflicts="skip"`) or stop the commit before anything is written (`"raise"`). Only key columns of the store are read.
 
-    Batches are committed one at a time, as a stream does. An empty batch leaves an empty folder. `rows` must not have a column `batch_no`."""
+    Batches are committed one at a time, as a stream does. An empty batch leaves an empty folder. `rows` must not have a column `batch_no`. `typed`: see `fresh_rows`."""
     if BATCH in rows.columns or conflicts not in ("skip", "raise"):
         raise ValueError(f"no column may be named {BATCH}" if BATCH in rows.columns else f"conflicts={conflicts!r}")
-    held = read_store(rows.sparkSession, path, rows.schema).where(F.col(BATCH) != number)
+    kept = rows.drop(*(typed or {}).values())
+    held = read_store(rows.sparkSession, path, kept.schema).where(F.col(BATCH) != number)
     with as_they_lie(rows.sparkSession):
         if conflicts == "raise":
             rows = stored(rows, "batch")
-            out = stored(fresh_rows(rows, held, keys), "fresh")
+            out = stored(fresh_rows(rows, held, keys, typed), "fresh")
             if out.count() < rows.count():
                 raise RepeatedKeys(f"batch {number}: keys {keys} are stored already or repeated")
         else:
-            out = fresh_rows(rows, held, keys)
+            out = fresh_rows(rows, held, keys, typed)
         # texts of a store repeat much; zstd halves what Spark's default leaves of them
         out.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(f"{path}/{BATCH}={number}")
 
@@ -147,7 +161,9 @@ def commit_scores(assessed: DataFrame, path: str, number: int, key: str = "asses
 
 def commit_results(assessed: DataFrame, path: str, number: int, key: str = "assessment_id", conflicts: str = "skip") -> None:
     """One row per assessment, in a folder per release class."""
-    commit_batch(sinks.result_rows(assessed, key), path, number, ["assessment_id"], ("release_classification",), conflicts)
+    whole = isinstance(assessed.schema[key].dataType, T.IntegralType)
+    rows = sinks.result_rows(assessed, key, *[F.col(key).alias("_key")] * whole)
+    commit_batch(rows, path, number, ["assessment_id"], ("release_classification",), conflicts, {"assessment_id": "_key"} if whole else None)
 
 
 def commit_reports(reports: DataFrame, path: str, number: int, key: str = "assessment_id", conflicts: str = "skip") -> None:

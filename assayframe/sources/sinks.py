@@ -18,8 +18,8 @@ def write_profiles(profiles: DataFrame, path: str, as_json: bool = False) -> Non
         out.write.mode("append").parquet(path)
 
 
-def result_rows(assessed: DataFrame, key: str = "assessment_id") -> DataFrame:
-    """Stored shape and types of a result."""
+def result_rows(assessed: DataFrame, key: str = "assessment_id", *more: Column) -> DataFrame:
+    """Stored shape and types of a result, and columns beside it that are not stored."""
     return assessed.select(
         F.col(key).cast("string").alias("assessment_id"), F.col("cqi").cast("decimal(5,1)").alias("cqi"), "cqi_band",
         F.col("total_score").alias("total_domain_score"), F.col("max_possible").alias("max_possible_score"),
@@ -27,7 +27,7 @@ def result_rows(assessed: DataFrame, key: str = "assessment_id") -> DataFrame:
         F.col("baseline_risk").cast("decimal(6,2)").alias("prs_baseline_risk"),
         F.col("sensitivity_multiplier").cast("decimal(4,2)").alias("prs_sensitivity_multiplier"),
         F.col("prs_trace").alias("prs_computation_trace"), F.col("release_class").alias("release_classification"),
-        F.col("release_justification").alias("classification_justification"), "policy_override_applied")
+        F.col("release_justification").alias("classification_justification"), "policy_override_applied", *more)
 
 
 def write_results(assessed: DataFrame, path: str, key: str = "assessment_id") -> None:

@@ -102,3 +102,26 @@ def test_stored_by_and_dealt_views_hold_all_rows(spark, sf_dir):
     assert kept.columns == plain.columns and kept.count() == plain.count() > 0
     assert kept.exceptAll(plain).isEmpty() and {t.name for t in spark.catalog.listTables()} == names
     assert "Exchange" not in kept.groupBy("dataset_id").count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_of_a_number_is_compared_as_the_number(spark, monkeypatch, tmp_path):
+    """Result rows lie by a number and are stored by its text: texts that are not how a number is written equal none."""
+    made = spark.createDataFrame([(i, None if i is None else str(i), "x") for i in [*range(40), 5, None]], "n bigint, id string, t string")
+    rows = stored_by(made.repartition(4, "n"), "typed", "n", 4)
+    held = spark.createDataFrame([("1",), ("+2",), (" 3",), ("04",), ("x",), ("6.0",), (None,), *[(str(i),) for i in range(10, 30)]], "id string")
+    broadcast = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(broadcast)
+    spark.conf.set(broadcast, "-1")
+    for few in (50_000, 3):
+        monkeypatch.setattr(commits, "FEW_KEYS", few)
+        with commits.as_they_lie(spark):
+            out = commits.fresh_rows(rows, held, ["id"], {"id": "n"})
+            moved = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hash" in x]
+            assert out.columns == ["id", "t"] and all("hashpartitioning(h0" in x for x in moved) and bool(moved) == (few == 3)
+            assert sorted(r["id"] for r in out.collect()) == sorted(str(i) for i in range(40) if i != 1 and not 10 <= i < 30)
+    spark.conf.set(broadcast, before)
+    path = str(tmp_path / "store")
+    for number in (0, 1, 1):
+        commits.commit_batch(rows, path, number, ["id"], typed={"id": "n"})
+        got = spark.read.parquet(path)
+        assert got.columns == ["id", "t", "batch_no"] and got.count() == 41 and got.where("batch_no = 1").isEmpty()
